@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every run of three words of a test item is looked up in every document. Per
-item the rarer half of its runs, by the number of documents that hold them, are
+Every run of three words of a test item is looked up in every document. Runs
+that are rare for their item, by the number of documents that hold them, are
 seeds; where a document holds a seed, the words around it are aligned with the
 whole item. The score is the alignment's share of a full match, so edited and
 paraphrased copies score in proportion to what survived.
@@ -27,6 +27,8 @@ from lathe.llm.kernels import Words, text_slices
 
 #: Words in a seed. Items with fewer words are no evidence and match nothing.
 GRAM = 3
+#: A run of words in this many times as many documents as its item's median run is no seed.
+COMMON = 4
 #: Runs of words that travel with a task at once (16 bytes each).
 MAX_SEEDS = 1 << 20
 #: Share of a full match from which a document counts as contaminated.
@@ -98,9 +100,16 @@ def _counter(hashes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def seeds_of(grams: pd.DataFrame, df: dict[int, int]) -> pd.DataFrame:
-    """The rarer half of each item's runs of words; ties with the median are in."""
+    """The runs of words that are rare for their item.
+
+    The measure is the item's median over the runs that occur at all: a run in
+    more than COMMON times as many documents is common. At least half of the
+    occurring runs stay, also where the item is copied into many documents, and
+    an edited copy beside them is not lost for what it shares with them.
+    """
     count = grams["h"].map(lambda h: df.get(int(np.uint64(h).view(np.int64)), 0))
-    return grams[count <= count.groupby(grams["item"]).transform("median")]
+    usual = count.where(count > 0).groupby(grams["item"]).transform("median")
+    return grams[(count > 0) & (count <= COMMON * usual)]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
