@@ -10,6 +10,8 @@ Shape at scale: one map over the documents in the JVM, no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,30 +30,46 @@ REPEAT_FROM = 20
 # the same in Java's and RE2's dialect
 ENDS = "[.!?:;…][\"')\\]”’»]*$"
 NAVIGATION = "(^| )(\\||»|›|>|·|•)( .*)? (\\||»|›|>|·|•)( |$)"
+#: In lower case, anywhere in a line; plain searches, as an alternation of this
+#: size costs several times all the other rules.
 BOILERPLATE = (
-    "(?i)(all rights reserved|^copyright|©|^licensed under|^released under|is licensed under the|terms of (use|service)|privacy policy"
-    "|cookie|enable javascript|subscribe to|sign (in|up)|log ?in to|click here|read more|share (this|on))"
-)
-SYMBOLS = "[^#$%&*|<>{}\\[\\]\\\\^~_=+@]"
-LOWER = "[^\\p{Ll}]"
-UPPER = "[^\\p{Lu}]"
+    "all rights reserved", "©", "is licensed under the", "terms of use", "terms of service", "privacy policy", "cookie", "enable javascript",
+    "subscribe to", "sign in", "sign up", "log in to", "login to", "click here", "read more", "share this", "share on",
+)
+BOILERPLATE_STARTS = ("copyright", "licensed under", "released under")
+PLAIN = "[^#$%&*|<>{}\\[\\]\\\\^~_=+@]+"
+NOT_LOWER = "[^\\p{Ll}]+"
+NOT_UPPER = "[^\\p{Lu}]+"
+
+
+def _with(value: Column, test: Callable[[Column], Column]) -> Column:
+    """test(value) with the value computed once: lambdas are interpreted and share no subexpressions."""
+    return F.exists(F.array(value), test)
+
+
+def is_boilerplate(line: Column) -> Column:
+    def test(low: Column) -> Column:
+        out = F.lit(False)
+        for phrase in BOILERPLATE_STARTS:
+            out = out | low.startswith(phrase)
+        for phrase in BOILERPLATE:
+            out = out | low.contains(phrase)
+        return out
+
+    return _with(F.lower(line), test)
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a trimmed, non-empty line passes every rule."""
+    """Whether a trimmed, non-empty line that is no boilerplate passes every rule."""
     size = F.length(line)
-    symbols = F.length(F.regexp_replace(line, SYMBOLS, ""))
-    upper = F.length(F.regexp_replace(line, UPPER, ""))
-    lower = F.length(F.regexp_replace(line, LOWER, ""))
-    words = F.split(line, " ")
-    return (
-        (line.rlike(ENDS) | (F.size(words) >= CUT_FROM))
-        & ((F.size(words) < REPEAT_FROM) | (F.size(F.array_distinct(words)) * 5 >= F.size(words)))
-        & (symbols * 10 <= size)
-        & ((size < SHOUT_FROM) | (upper <= lower))
-        & ~line.rlike(NAVIGATION)
-        & ~line.rlike(BOILERPLATE)
+    symbols = F.length(F.regexp_replace(line, PLAIN, ""))
+    lower = F.length(F.regexp_replace(line, NOT_LOWER, ""))
+    worded = _with(
+        F.split(line, " "),
+        lambda w: (line.rlike(ENDS) | (F.size(w) >= CUT_FROM)) & ((F.size(w) < REPEAT_FROM) | (F.size(F.array_distinct(w)) * 5 >= F.size(w))),
     )
+    calm = _with(F.length(F.regexp_replace(line, NOT_UPPER, "")), lambda upper: (upper * 3 <= size) | (upper <= lower))
+    return worded & (symbols * 10 <= size) & ((size < SHOUT_FROM) | calm) & ~line.rlike(NAVIGATION)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -64,13 +82,20 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """
     rows = pick(docs, "doc_id", "text")
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t\\r]", " "))), lambda x: x != "")
-    judged = rows.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")).withColumn("good", F.filter("lines", line_passes))
 
-    def chars(name: str | Column) -> Column:
+    def once(df: DataFrame, **columns: Column) -> DataFrame:
+        """Add columns that are computed once per row, whatever uses them: nothing is pulled through a generator."""
+        packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+        return df.withColumn("__one", F.explode(F.array(packed))).select(*df.columns, "__one.*")
+
+    split = once(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lines=lines).drop("text")
+    content = once(split, content=F.filter("lines", lambda x: ~is_boilerplate(x)))
+    judged = once(content, good=F.filter("content", line_passes))
+
+    def chars(name: str) -> Column:
         return F.aggregate(name, F.lit(0), lambda a, x: a + F.length(x))
 
-    content = F.filter("lines", lambda x: ~x.rlike(BOILERPLATE))
-    enough = (F.size("good") > 0) & (chars("good") >= LEAST_KEPT * chars(content))
+    enough = (F.size("good") > 0) & (chars("good") >= LEAST_KEPT * chars("content"))
     return judged.where(enough).select("doc_id", F.array_join("good", "\n").alias("text"), (F.size("lines") - F.size("good")).alias("removed_lines"))
 
 
@@ -78,17 +103,22 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+_BOILERPLATE_SQL = " OR ".join([f"contains(lower(x), {_q(p)})" for p in BOILERPLATE] + [f"starts_with(lower(x), {_q(p)})" for p in BOILERPLATE_STARTS])
+
 SQL = f"""
 WITH l AS (
   SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r]', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM documents
+), c AS (
+  SELECT *, list_filter(lines, lambda x: NOT ({_BOILERPLATE_SQL})) AS content FROM l
 ), j AS (
-  SELECT doc_id, lines, list_filter(lines, lambda x: (regexp_matches(x, {_q(ENDS)}) OR len(string_split(x, ' ')) >= {CUT_FROM})
+  SELECT doc_id, lines, content, list_filter(content, lambda x: (regexp_matches(x, {_q(ENDS)}) OR len(string_split(x, ' ')) >= {CUT_FROM})
     AND (len(string_split(x, ' ')) < {REPEAT_FROM} OR len(list_distinct(string_split(x, ' '))) * 5 >= len(string_split(x, ' ')))
-    AND length(regexp_replace(x, {_q(SYMBOLS)}, '', 'g')) * 10 <= length(x)
-    AND (length(x) < {SHOUT_FROM} OR length(regexp_replace(x, {_q(UPPER)}, '', 'g')) <= length(regexp_replace(x, {_q(LOWER)}, '', 'g')))
-    AND NOT regexp_matches(x, {_q(NAVIGATION)}) AND NOT regexp_matches(x, {_q(BOILERPLATE)})) AS good
-  FROM l
+    AND length(regexp_replace(x, {_q(PLAIN)}, '', 'g')) * 10 <= length(x)
+    AND (length(x) < {SHOUT_FROM} OR length(regexp_replace(x, {_q(NOT_UPPER)}, '', 'g')) * 3 <= length(x)
+      OR length(regexp_replace(x, {_q(NOT_UPPER)}, '', 'g')) <= length(regexp_replace(x, {_q(NOT_LOWER)}, '', 'g')))
+    AND NOT regexp_matches(x, {_q(NAVIGATION)})) AS good
+  FROM c
 )
 SELECT doc_id, array_to_string(good, chr(10)) AS text, CAST(len(lines) - len(good) AS INTEGER) AS removed_lines
-FROM j WHERE len(good) > 0 AND list_sum(list_transform(good, lambda x: length(x))) >= {LEAST_KEPT} * list_sum(list_transform(list_filter(lines, lambda x: NOT regexp_matches(x, {_q(BOILERPLATE)})), lambda x: length(x)))
+FROM j WHERE len(good) > 0 AND list_sum(list_transform(good, lambda x: length(x))) >= {LEAST_KEPT} * list_sum(list_transform(content, lambda x: length(x)))
 """
