@@ -34,10 +34,12 @@ CONTEXT = 48
 #: Probability from which the span classifier accepts.
 THRESHOLD = 0.5
 EM_ROUNDS = 100
+#: Starting probability that these labelers vote against a true span.
+AGAINST = {"structure": 0.01, "decoy": 0.01, "gazetteer": 0.05}
 
 _EMAIL = r"[^\s@<>\"'(),;:\[\]]{1,128}@[^\s@<>\"'(),;:\[\]]{1,255}"
 _IP = r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w])"
-_NUMBER = r"(?<![\w.])(?:\+|\()?\d(?:[ .()/-]{0,2}\d){6,18}(?![\w])"
+_NUMBER = r"(?<![\w.])(?:\+|\((?=\d{2,4}\)))?\d(?:[ .()/-]{0,2}\d){6,18}(?![\w])"
 _SECRET = r"(?<![\w/+])[A-Za-z0-9_+/-]{16,512}={0,2}(?![\w])"
 _CANDIDATE = re.compile(f"(?P<email>{_EMAIL})|(?P<ip>{_IP})|(?P<number>{_NUMBER})|(?P<secret>{_SECRET})")
 
@@ -77,9 +79,12 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _CANDIDATE.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if kind == "email":
-            while end > start and text[end - 1] in ".!?-":
+            # punctuation and decoration around an address are none of it
+            while end > start and not text[end - 1].isalnum():
                 end -= 1
-            if text[end - 1] == "@" or "@" not in text[start:end]:
+            while start < end and not text[start].isalnum():
+                start += 1
+            if "@" not in text[start:end]:
                 continue
         elif kind == "number":
             digits = sum(c.isdigit() for c in m.group())
@@ -177,10 +182,14 @@ class Reliability:
 
 
 def estimate(kind: np.ndarray, vote: np.ndarray, count: np.ndarray) -> Reliability:
-    """EM for the naive Bayes model of votes, started from the belief that votes are right in four cases of five."""
+    """EM for the naive Bayes model of votes, started from the belief that votes are right in four cases of five,
+    and that a failed checksum or a decoy word hardly ever goes with a true span."""
     labelers = vote.shape[1]
     start = np.array([[0.4, 0.4, 0.2], [0.1, 0.4, 0.5]])
-    model = Reliability(np.full(len(KINDS), 0.5), np.repeat(start[:, None, :], labelers, axis=1))
+    table = np.repeat(start[:, None, :], labelers, axis=1)
+    for labeler, against in AGAINST.items():
+        table[1, LABELERS.index(labeler)] = [against, 0.5 - against, 0.5]
+    model = Reliability(np.full(len(KINDS), 0.5), table)
     # pseudo-counts keep the labelers' meaning: a vote for a span never becomes evidence against it by a fluke
     pseudo = 5 * model.table
     for _ in range(EM_ROUNDS):
