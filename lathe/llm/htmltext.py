@@ -57,7 +57,6 @@ _REST = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _BREAK = "\v"
 
 
@@ -143,8 +142,9 @@ def parse(source: str) -> tuple[Node, set[str]]:
             stop = n if end is None else end.start()
             body = source[at:stop]
             if name == "style":
-                for selectors, rules in _RULE.findall(body):
-                    if _NO_DISPLAY.search(rules):
+                for rule in body.split("}"):
+                    selectors, brace, rules = rule.partition("{")
+                    if brace and _NO_DISPLAY.search(rules):
                         hidden.update(s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
             elif name not in HIDDEN:
                 node.children.append(html.unescape(body) if name == "textarea" else body)
