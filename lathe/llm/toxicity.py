@@ -102,23 +102,21 @@ def _counted(row: np.ndarray, feature: np.ndarray, offsets: np.ndarray) -> tuple
     return row, key & ((1 << HASH_BITS) - 1), np.log1p(1000 * count / np.diff(offsets)[row])
 
 
-def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows, ids, values = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+def _features(texts: pa.Array, alive: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, feature, value) of the texts, slice by slice; only of the features alive, where that is given."""
     for start, stop in text_slices(texts):
         code, offsets = codepoints(texts.slice(start, stop - start))
         owner = np.repeat(np.arange(stop - start), np.diff(offsets))
         r, f = [], []
         for n, index in grams(code):
-            row = owner[: len(index)]
-            ok = row == owner[n - 1 :]
-            r.append(row[ok])
+            ok = owner[: len(index)] == owner[n - 1 :]
+            if alive is not None:
+                ok &= alive[index]
+            r.append(owner[: len(index)][ok])
             f.append(index[ok])
         if r:
             row, feature, value = _counted(np.concatenate(r), np.concatenate(f), offsets)
-            rows.append((row + start).astype(np.int32))
-            ids.append(feature.astype(np.int32))
-            values.append(value.astype(np.float32))
-    return np.concatenate(rows), np.concatenate(ids), np.concatenate(values)
+            yield row + start, feature, value
 
 
 def _logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -147,20 +145,23 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(width, np.float32), np.zeros(width, bool), -np.inf)
-    row, col, value = _features(pa.array(texts, pa.string()))
-    on = y[row] == 1
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-
-    def sums(which: np.ndarray, power: int) -> np.ndarray:
-        return np.bincount(col[which], weights=value[which].astype(np.float64) ** power, minlength=width)
-
-    p, q = sums(on, 1), sums(~on, 1)
-    ratio = np.log((SMOOTHING + p) / (SMOOTHING + p).sum() * (SMOOTHING + q).sum() / (SMOOTHING + q))
+    column = pa.array(texts, pa.string())
+    # sums and squared sums by class: a slice's features are forgotten once added
+    sums, squares = np.zeros((2, width)), np.zeros((2, width))
+    for row, col, value in _features(column):
+        for c in (0, 1):
+            mine = y[row] == c
+            sums[c] += np.bincount(col[mine], weights=value[mine], minlength=width)
+            squares[c] += np.bincount(col[mine], weights=value[mine] ** 2, minlength=width)
+    n = np.array([[(y == 0).sum()], [(y == 1).sum()]])
+    shares = (SMOOTHING + sums) / (SMOOTHING + sums).sum(axis=1, keepdims=True)
+    ratio = np.log(shares[1] / shares[0])
     # n-grams whose mean values differ by less than EVIDENCE standard errors say nothing
-    error = np.sqrt((sums(on, 2) + SMOOTHING) / n1**2 + (sums(~on, 2) + SMOOTHING) / n0**2)
-    alive = np.abs(p / n1 - q / n0) >= EVIDENCE * error
-    keep = alive[col]
-    row, col, value = row[keep], col[keep], value[keep]
+    error = np.sqrt(((squares + SMOOTHING) / n**2).sum(axis=0))
+    means = sums / n
+    alive = np.abs(means[1] - means[0]) >= EVIDENCE * error
+    parts = list(_features(column, alive)) or [(np.zeros(0, int),) * 2 + (np.zeros(0),)]
+    row, col, value = (np.concatenate(x) for x in zip(*parts))
     w, b = _logistic(row, col, value * ratio[col], y, width)
     return Model((w * ratio * alive).astype(np.float32), alive, float(b))
 
