@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; keeps numpy temporaries near the CPU caches
 #: and bounds a worker's memory whatever the Arrow batch size is.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _C1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -45,7 +45,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * SLICE_BYTES)
+            n = max(n, 4 * SLICE_BYTES)
             with np.errstate(over="ignore"):
                 self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _MULT))])
                 self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, self.inverse))])

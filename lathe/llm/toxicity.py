@@ -28,7 +28,9 @@ from lathe.llm.kernels import text_slices
 #: ones whose ids hash lowest.
 TRAIN_PER_CLASS = 2000
 SIZES = (3, 4, 5, 6)
-HASH_BITS = 20
+HASH_BITS = 19
+#: Bytes of training text whose n-grams the driver holds at once.
+TRAIN_SLICE = 1 << 17
 #: Probability from which a document counts as toxic.
 THRESHOLD = 0.5
 #: An n-gram is a feature when its share of documents differs between the
@@ -104,7 +106,7 @@ def _counted(row: np.ndarray, feature: np.ndarray, offsets: np.ndarray) -> tuple
 
 def _features(texts: pa.Array, alive: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(text, feature, value) of the texts, slice by slice; only of the features alive, where that is given."""
-    for start, stop in text_slices(texts):
+    for start, stop in text_slices(texts, TRAIN_SLICE):
         code, offsets = codepoints(texts.slice(start, stop - start))
         owner = np.repeat(np.arange(stop - start), np.diff(offsets))
         r, f = [], []
@@ -116,7 +118,7 @@ def _features(texts: pa.Array, alive: np.ndarray | None = None) -> Iterator[tupl
             f.append(index[ok])
         if r:
             row, feature, value = _counted(np.concatenate(r), np.concatenate(f), offsets)
-            yield row + start, feature, value
+            yield (row + start).astype(np.int32), feature.astype(np.int32), value.astype(np.float32)
 
 
 def _logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
