@@ -49,6 +49,7 @@ def float_repr(x: Column) -> Column:
         F.when(F.isnan(x), "nan")
         .when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
         .when(x == 0, F.concat(sign, F.lit("0.0")))
+        .when(F.abs(x) == 5e-324, F.concat(sign, F.lit("5e-324")))  # older JVMs show two digits
         .otherwise(F.concat(sign, shown))
     )
 

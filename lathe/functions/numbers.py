@@ -29,7 +29,8 @@ def mod(a: Value, b: Value) -> Column:
     """Remainder with the divisor's sign, for integers and floats."""
     a, b = col(a), col(b)
     rest = a % b
-    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+    zero = F.abs(rest) * F.when(b < 0, -1).otherwise(1)  # a float zero takes the divisor's sign as well
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).when(rest == 0, zero).otherwise(rest)
 
 
 def float_floor_div(a: Value, b: Value) -> Column:
@@ -41,7 +42,7 @@ def float_floor_div(a: Value, b: Value) -> Column:
     floored = F.floor(shifted).cast("double")
     near = F.when(shifted - floored > 0.5, floored + 1.0).otherwise(floored)
     whole = F.when(F.abs(shifted) < 9e15, near).otherwise(shifted)
-    zero = F.when((a / b < 0) | (a / b).cast("string").startswith("-"), F.lit(-0.0)).otherwise(0.0)
+    zero = a / b * 0.0  # keeps the quotient's sign
     return F.when(F.isnan(a) | F.isnan(b) | F.abs(a).eqNullSafe(F.lit(float("inf"))), F.lit(float("nan"))).when(shifted == 0, zero).otherwise(whole)
 
 

@@ -18,8 +18,27 @@ def java_pattern(pattern: str, flags: int = 0) -> str:
         raise ValueError("only the flags A, I, M, S, U and X are served")
     re.compile(pattern, flags)  # Python's syntax errors, before anything runs
     out, k = [], 0
+    word = "\\p{L}\\p{N}_"  # Java's own word class has marks and lacks fractions
+    inside = False
     while k < len(pattern):
-        if pattern.startswith("(?P<", k):
+        if not flags & re.A and pattern[k : k + 2] in ("\\w", "\\W"):
+            negated = pattern[k + 1] == "W"
+            out.append(f"[^{word}]" if negated else word if inside else f"[{word}]")
+            k += 2
+        elif pattern[k] == "[" and not inside:
+            inside = True
+            # a bracket or caret right after the opening is not the end
+            start = re.match(r"\[\^?\]?", pattern[k:])[0]
+            out.append(start.replace("]", "\\]"))
+            k += len(start)
+        elif inside and pattern[k] in "[&":
+            out.append("\\" + pattern[k])
+            k += 1
+        elif inside and pattern[k] == "]":
+            inside = False
+            out.append("]")
+            k += 1
+        elif pattern.startswith("(?P<", k) and not inside:
             end = pattern.index(">", k)
             name = pattern[k + 4 : end].replace("_", "0U")
             out.append(f"(?<{name}>")
@@ -31,7 +50,7 @@ def java_pattern(pattern: str, flags: int = 0) -> str:
         elif pattern[k] == "\\" and k + 1 < len(pattern):
             out.append("\\z" if pattern[k + 1] == "Z" else pattern[k : k + 2])
             k += 2
-        elif pattern[k] == "$" and not flags & re.M:
+        elif pattern[k] == "$" and not flags & re.M and not inside:
             out.append("(?=\\n?\\z)")
             k += 1
         else:
