@@ -65,4 +65,4 @@ def sightings(spark: SparkSession, target: str) -> DataFrame:
 
 def running_counts(events: DataFrame, timestamp: str, key: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts per time window and key of a stream (or a table); rows later than ``late`` are left out."""
-    return events.withWatermark(timestamp, late).groupBy(F.window(timestamp, window).alias("w"), key).agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), key, "count")
+    return events.withColumn(timestamp, F.col(timestamp).cast("timestamp")).withWatermark(timestamp, late).groupBy(F.window(timestamp, window).alias("w"), key).agg(F.count("*").alias("count")).select(F.col("w.start").alias("start"), key, "count")
