@@ -187,3 +187,45 @@ def chr_(code: Column) -> Column:
     """Character of a code point."""
     raw = F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0"))
     return F.when((code >= 0) & (code < 0x110000), F.decode(raw, "utf-32"))
+
+
+def sqrt(x: Value) -> Column:
+    """math.sqrt: a negative argument raises, where Spark gives nan."""
+    x = col(x).cast("double")
+    return F.when(x < 0, F.raise_error(F.lit("math domain error")).cast("double")).otherwise(F.sqrt(x))
+
+
+def log10(x: Value) -> Column:
+    """math.log10: zero and below raise."""
+    x = col(x).cast("double")
+    return F.when(x <= 0, F.raise_error(F.lit("math domain error")).cast("double")).otherwise(F.log10(x))
+
+
+def floor(x: Value) -> Column:
+    return F.floor(col(x))
+
+
+def ceil(x: Value) -> Column:
+    return F.ceil(col(x))
+
+
+_TYPES = {"string": "str", "bigint": "int", "int": "int", "double": "float", "boolean": "bool", "binary": "bytes", "void": "NoneType"}
+
+
+def type_name(kind: str) -> str:
+    """Python's name of a column's type; types without one are refused."""
+    if kind.startswith("array"):
+        return "list"
+    if kind.startswith("map"):
+        return "dict"
+    if kind.startswith("struct"):
+        return "tuple"
+    if kind not in _TYPES:
+        raise ValueError(f"no Python type for {kind}")
+    return _TYPES[kind]
+
+
+def isinstance_(kind: str, *names: str) -> bool:
+    """isinstance for a column's type, decided before anything runs; a bool is an int."""
+    own = type_name(kind)
+    return own in names or own == "bool" and "int" in names

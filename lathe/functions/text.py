@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv as _csv
 import io
+import struct
 import textwrap
 import unicodedata
 
@@ -139,3 +140,25 @@ def _valid(v: bytes) -> bool:
         return True
     except UnicodeDecodeError:
         return False
+
+
+def bytes_of(values: Column) -> Column:
+    """``bytes([...])``: every value in 0..255, else the batch fails."""
+    return _arrow("binary", lambda v: bytes(list(map(int, v))))(values)
+
+
+def struct_pack(spec: str, *values: Column) -> Column:
+    """``struct.pack(spec, *values)``."""
+    struct.calcsize(spec)  # a wrong format fails before anything runs
+
+    @F.pandas_udf("binary")
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([struct.pack(spec, *row) for row in zip(*columns)])
+
+    return run(*values)
+
+
+def struct_unpack(spec: str, b: Column, kind: str = "long") -> Column:
+    """``struct.unpack(spec, b)`` as an array of one type."""
+    struct.calcsize(spec)
+    return _arrow(f"array<{kind}>", lambda v: list(struct.unpack(spec, v)))(b)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.operators.corpus import content_key, fingerprint, normalise
-from lathe.operators.extraction import extract
+from lathe.operators.extraction import extract, looks_pythonish
 from lathe.operators.redaction import is_safe, redact, redact_argv
 
 MAX_PROGRAM_BYTES = 64 * 1024
@@ -148,3 +149,43 @@ def fold_into_corpus(corpus: DataFrame, sightings: DataFrame) -> DataFrame:
         F.coalesce("stdin_sample", "n_stdin_sample").alias("stdin_sample"),
         "extra",
     )
+
+
+TRANSCRIPT = "timestamp string, message struct<content: array<struct<type: string, name: string, id: string, input: struct<command: string>>>>"
+
+
+def transcript_occurrences(lines: DataFrame) -> DataFrame:
+    """Occurrences in transcript lines (file, value): shell commands that a message's content asked for.
+
+    The key holds the request's own id, so a file read twice counts once. Lines
+    of another shape give nothing.
+    """
+    events = lines.select(F.substring_index("file", "/", -1).alias("file"), F.from_json("value", TRANSCRIPT).alias("e"))
+    blocks = events.select("file", F.coalesce("e.timestamp", F.lit("")).alias("ts"), F.explode("e.message.content").alias("b"))
+    wanted = blocks.where((F.col("b.type") == "tool_use") & (F.col("b.name") == "Bash") & looks_pythonish(F.col("b.input.command")))
+    place = F.concat_ws("#", F.concat(F.lit("transcript:"), "file"), F.coalesce("b.id", F.lit("noid")))
+    commands = wanted.select(place.alias("place"), F.col("b.input.command").alias("command"), "ts", F.regexp_replace("file", r"\.jsonl$", "").alias("session"))
+    found = extract(commands, "command")
+    return found.select(F.concat_ws("#", "place", F.col("idx").cast("string")).alias("occ_key"), "program", "argv_tail", F.lit("transcript").alias("source"), "session", "ts")
+
+
+def collect(*sightings: DataFrame) -> DataFrame:
+    """Sightings of several feeds by key, combined from left to right."""
+    return reduce(combine, sightings)
+
+
+def export(sightings: DataFrame, known: DataFrame, published: DataFrame | None, secrets: Sequence[tuple[str, str]] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows to publish, counts of dropped rows by reason): clean sightings upserted into the published ones.
+
+    Only rows of sessions in which something changed are returned, for a
+    dynamic partition overwrite by session; a second run returns none.
+    """
+    checked = clean(sightings, known, secrets).withColumn("session", F.coalesce(F.when(F.col("session") != "", F.col("session")), F.lit("unknown")))
+    dropped = checked.where("reason <> ''").groupBy("reason").agg(F.count("*").alias("rows"))
+    kept = checked.where("reason = ''").drop("reason", "hits").withColumn("key", F.struct("session", "key"))
+    if published is None:
+        return kept.withColumn("key", F.col("key.key")), dropped
+    before = published.withColumn("key", F.struct("session", "key")).select(*kept.columns)
+    after = combine(before, kept)
+    changed = after.exceptAll(before).select(F.col("key.session").alias("session")).distinct()
+    return after.withColumn("key", F.col("key.key")).join(changed, "session", "left_semi").select(*published.columns), dropped

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions import collections as py_list
 from lathe.functions import dates, formatting, numbers, paths, regex, strings, text, web
-from lathe.operators import corpus, fuzz, gate, grading, harvest, redaction, relational, timing
+from lathe.operators import corpus, fuzz, gate, grading, harvest, programs, redaction, relational, timing
 from lathe.operators.extraction import extract, looks_pythonish
 from lathe.plans.compiler import compile_expression
 from lathe.session import table
@@ -523,6 +523,27 @@ def pythonish(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", looks_pythonish(F.col("text")).alias("pythonish"))
 
 
+@query(
+    """SELECT name, count(*) AS count FROM (SELECT unnest(CASE WHEN user_id % 3 = 0 THEN ['json', 'os'] WHEN user_id % 3 = 1 THEN ['json'] ELSE [] END) AS name FROM (SELECT DISTINCT user_id, event_type FROM events)) GROUP BY name"""
+)
+def program_imports(spark: SparkSession, d: str) -> DataFrame:
+    head = F.when(F.col("user_id") % 3 == 0, "import json, os.path\nfrom . import x\n").when(F.col("user_id") % 3 == 1, "from json import loads as os\n").otherwise("broken(\n")
+    entries = table(spark, d, "events").select("user_id", "event_type").distinct()
+    programs_of = entries.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("id"), F.concat(head, F.lit("print(len('"), "event_type", F.lit("'))\n")).alias("program"))
+    return programs.profile_uses(programs_of)["modules"]
+
+
+@query(
+    """SELECT conv_id, turn, 'x' AS program FROM conversations WHERE role = 'assistant'"""
+)
+def transcript_programs(spark: SparkSession, d: str) -> DataFrame:
+    block = F.struct(F.lit("tool_use").alias("type"), F.when(F.col("role") == "assistant", "Bash").otherwise("Read").alias("name"), F.col("turn").cast("string").alias("id"), F.struct(F.lit("python -c x").alias("command")).alias("input"))
+    event = F.to_json(F.struct(F.lit("2024-01-01").alias("timestamp"), F.struct(F.array(block).alias("content")).alias("message")))
+    lines = table(spark, d, "conversations").select(F.concat(F.lit("/t/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file"), event.alias("value"))
+    found = harvest.transcript_occurrences(lines)
+    return found.select(F.col("session").cast("long").alias("conv_id"), F.split("occ_key", "#")[1].cast("long").alias("turn"), "program")
+
+
 # grading
 
 LADDER = ["core", "mid", "reference"]
