@@ -7,23 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.session import stored
+
 
 def enumerate_rows(df: DataFrame, *order: str | Column, start: int = 0, name: str = "pos") -> DataFrame:
     """Rows with their position in a total order.
 
     Sorted by range over all executors; the offset of each range is a count per
-    partition, so no single task sees the whole table.
+    range, so no single task sees the whole table. The ranges are drawn from a
+    sample that another run would draw anew, so the sorted rows are written once
+    to the shared folder and both their counts and the result are read from it.
     """
-    spark = df.sparkSession
-    ordered = df.orderBy(*order).withColumn("__p", F.spark_partition_id())
-    local = ordered.withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = [(r["__p"], r["n"]) for r in local.groupBy("__p").agg(F.count("*").alias("n")).collect()]
-    offsets, total = [], start
-    for p, n in sorted(counts):
-        offsets.append((p, total))
-        total += n
-    table = spark.createDataFrame(offsets or [(-1, 0)], "__p int, __o long")
-    return local.join(F.broadcast(table), "__p").withColumn(name, F.col("__o") + F.col("__k")).drop("__p", "__k", "__o")
+    ordered = df.orderBy(*order).select("*", F.spark_partition_id().alias("__p"))
+    local = stored(ordered.withColumn("__k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
+    # one row per range: at most as many as there are shuffle partitions
+    counts = local.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__o"))
+    return local.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + F.col("__k") + start).drop("__p", "__k", "__o")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, by: str = "pos") -> DataFrame:
