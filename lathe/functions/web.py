@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.parse
 import zlib
 
 import pandas as pd
@@ -139,3 +140,13 @@ def compress(x: Column, level: int = -1) -> Column:
 
 def decompress(x: Column) -> Column:
     return _bytes(zlib.decompress)(x)
+
+
+def unquote_to_bytes(x: Column) -> Column:
+    """Percent-decoding to bytes, valid UTF-8 or not."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda v: None if v is None else urllib.parse.unquote_to_bytes(v))
+
+    return run(x)

@@ -116,3 +116,8 @@ def shrink(program: str, still_fails: Callable[[str], bool], budget: int = 200)
                 program, smaller = candidate, True
                 break
     return program
+
+
+def tally(judged: DataFrame, judgement: str = "judgement") -> DataFrame:
+    """Programs by judgement, the most frequent first."""
+    return judged.groupBy(judgement).agg(F.count("*").alias("count")).orderBy(F.desc("count"), judgement)

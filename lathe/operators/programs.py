@@ -84,3 +84,9 @@ def profile_uses(entries: DataFrame, top: int = 20) -> dict[str, DataFrame]:
         "lines": percentiles(used, "lines", {"median": 0.5, "p90": 0.9, "longest": 1.0}),
         "unparsed": used.agg(F.count_if(F.col("u").isNull()).alias("unparsed")),
     }
+
+
+def registered_modules(source: Column) -> Column:
+    """Names of the modules that a C source registers, sorted."""
+    found = F.regexp_extract_all(source, F.lit(r"MP_REGISTER_(?:EXTENSIBLE_)?MODULE\s*\(\s*MP_QSTR_(\w+)"), 1)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.regexp_replace(m, "^_+", ""))))

@@ -126,3 +126,8 @@ def mode(df: DataFrame, value: str, position: str, *by: str) -> DataFrame:
     """The most frequent value, ties to the one met first."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))
     return counts.groupBy(*by).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias("mode"))
+
+
+def total(counts: DataFrame) -> DataFrame:
+    """One row (total): the sum of all counts."""
+    return counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))

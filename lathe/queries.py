@@ -752,3 +752,279 @@ def compiled_arrow(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     plan = compile_expression("'/'.join(sorted(set(p_type.split(' ')), reverse=True))", p, "string")
     return p.select("p_partkey", plan.column.alias("words"))
+
+
+# the rest of the inventory
+
+
+@query("SELECT c_custkey, c_name || ':' || c_mktsegment AS joined, list_reverse(string_split(c_name, '#'))[1] AS tail, CAST(length(c_mktsegment) * 2 AS INTEGER) AS n FROM customer")
+def str_join_rsplit_repeat(spark: SparkSession, d: str) -> DataFrame:
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    parts = strings.rsplit(name, "#", 1)
+    return table(spark, d, "customer").select("c_custkey", strings.join(":", F.array(name, segment)).alias("joined"), F.element_at(parts, -1).alias("tail"), F.length(F.repeat(segment, F.lit(2))).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_name) < 30 THEN rpad(p_name, 30, '-') ELSE p_name END AS padded, instr(p_name, 'a') - 1 AS found, length(p_name) - instr(reverse(p_name), 'a') AS last FROM part WHERE contains(p_name, 'a')")
+def str_find_rfind(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("p_name")
+    rows = table(spark, d, "part").where(x.contains("a"))
+    return rows.select("p_partkey", strings.ljust(x, 30, "-").alias("padded"), strings.index(x, "a").cast("long").alias("found"), strings.rindex(x, "a").cast("long").alias("last"))
+
+
+@query("SELECT doc_id, regexp_full_match(lang, '[a-z]+') AS low, regexp_full_match(upper(lang), '[A-Z]+') AS up, regexp_full_match(source, '.*[0-9]') AS tail FROM documents")
+def str_cased(spark: SparkSession, d: str) -> DataFrame:
+    lang = F.col("lang")
+    return table(spark, d, "documents").select("doc_id", strings.islower(lang).alias("low"), strings.isupper(F.upper(lang)).alias("up"), strings.isdecimal(F.right("source", F.lit(1))).alias("tail"))
+
+
+@query("SELECT vec_id, len(embedding) + 1 AS appended, round(embedding[2], 6) AS second, round(list_reverse(embedding)[1], 6) AS last, round(list_sort(embedding)[1], 6) AS least, len(embedding[3:6]) AS cut FROM embeddings")
+def list_methods(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.size(py_list.append(e, F.lit(0.0).cast("float"))).cast("long").alias("appended"), F.round(py_list.item(e, 1), 6).alias("second"), F.round(py_list.pop(e)["value"], 6).alias("last"),
+        F.round(py_list.item(py_list.sort(e), 0), 6).alias("least"), F.size(py_list.slice_(e, 2, 6)).cast("long").alias("cut"),
+    )
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'zero' WHEN o_orderkey % 3 = 1 THEN 'one' ELSE 'none' END AS got, CAST(CASE WHEN o_orderkey % 3 < 2 THEN 2 ELSE 3 END AS INTEGER) AS size FROM orders")
+def dict_get_setdefault(spark: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit(0).cast("long"), F.lit("zero"), F.lit(1).cast("long"), F.lit("one"))
+    key = F.col("o_orderkey") % 3
+    return table(spark, d, "orders").select("o_orderkey", py_list.get(m, key, F.lit("none")).alias("got"), F.size(py_list.setdefault(m, key, F.lit("new"))).alias("size"))
+
+
+@query("SELECT doc_id, len(list_distinct(w)) AS distinct_words, len(list_filter(list_distinct(w), lambda x: x IN ('the', 'of', 'le'))) AS common FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents)")
+def set_methods(spark: SparkSession, d: str) -> DataFrame:
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    known = F.array(F.lit("the"), F.lit("of"), F.lit("le"))
+    return table(spark, d, "documents").select("doc_id", words.alias("w")).select(
+        "doc_id", F.size(py_list.set_of(F.col("w"))).cast("long").alias("distinct_words"), F.size(py_list.intersection(F.col("w"), known)).cast("long").alias("common")
+    )
+
+
+@query("SELECT event_id, split_part(line, ',', 1) AS kind, split_part(line, ',', 3) AS tail FROM (SELECT event_id, event_type || ',' || user_id || ',end' AS line FROM events)")
+def csv_fields(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat_ws(",", F.concat(F.lit('"'), "event_type", F.lit('"')), F.col("user_id").cast("string"), F.lit("end"))
+    fields = text.csv_row(line)
+    return table(spark, d, "events").select("event_id", fields.alias("f")).select("event_id", F.col("f")[0].alias("kind"), F.col("f")[2].alias("tail"))
+
+
+@query("SELECT event_id, '\"' || event_type || '\"\"x\",' || user_id || chr(13) || chr(10) AS line FROM events")
+def csv_written(spark: SparkSession, d: str) -> DataFrame:
+    fields = F.array(F.concat("event_type", F.lit('"x')), F.col("user_id").cast("string"))
+    return table(spark, d, "events").select("event_id", text.csv_write(fields).alias("line"))
+
+
+@query("SELECT event_id, '{\"kind\": \"' || event_type || '\", \"user\": ' || user_id || '}' AS dumped FROM events")
+def json_dumps(spark: SparkSession, d: str) -> DataFrame:
+    # a struct's fields arrive as a dict, in order
+    record = F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
+    return table(spark, d, "events").select("event_id", formatting.json_rewrite(record).alias("dumped"))
+
+
+@query("SELECT o_orderkey, printf('%08d|%s', o_orderkey, o_orderstatus) AS old, o_orderstatus || '-' || format('{:,}', o_orderkey) AS new FROM orders")
+def percent_and_template(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    return table(spark, d, "orders").select("o_orderkey", formatting.percent_format("%08d|%s", k, s).alias("old"), formatting.template("{0}-{n:,}", s, n=k).alias("new"))
+
+
+@query("SELECT p_partkey, '''' || p_name || '''' AS shown, format('{:,}', p_partkey * 1000) AS grouped FROM part")
+def repr_and_format(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", formatting.repr_(F.col("p_name")).alias("shown"), formatting.format_(F.col("p_partkey") * 1000, ",d").alias("grouped"))
+
+
+@query("SELECT n_nationkey, 'True ' || n_name || ' None' || chr(10) AS printed FROM nation")
+def print_row(spark: SparkSession, d: str) -> DataFrame:
+    printed = formatting.print_(F.lit(True), F.col("n_name"), F.lit(None).cast("string"), kinds=["boolean", "string", "string"])
+    return table(spark, d, "nation").select("n_nationkey", printed.alias("printed"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 86400 AS seconds, make_date(2000, month(o_orderdate), 1) AS replaced, CAST(isodow(o_orderdate) AS INTEGER) AS iso_weekday FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
+def date_iso_delta(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("o_orderdate")
+    rows = table(spark, d, "orders").where(x == F.date_trunc("day", x).cast("timestamp_ntz"))
+    day = x.cast("date")
+    return rows.select(
+        "o_orderkey", dates.isoformat(x).alias("iso"), dates.total_seconds(x, F.lit("1992-01-01").cast("timestamp_ntz")).alias("seconds"), dates.replace(day, year=2000, day=1).alias("replaced"), dates.isoweekday(day).alias("iso_weekday")
+    )
+
+
+@query("SELECT event_id, CAST(ts + INTERVAL 90 SECOND AS TIMESTAMP) AS later, floor(epoch(ts)) AS stamp FROM events")
+def date_add(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("ts")
+    return table(spark, d, "events").select("event_id", dates.add_seconds(x, F.lit(90.0)).alias("later"), F.floor(dates.timestamp(x)).cast("double").alias("stamp"))
+
+
+@query("SELECT page_id, url_encode(url) AS quoted, url AS back FROM pages")
+def url_quote(spark: SparkSession, d: str) -> DataFrame:
+    quoted = web.quote(F.col("url"), safe="")
+    return table(spark, d, "pages").select("page_id", quoted.alias("quoted"), web.unquote(quoted).alias("back"))
+
+
+@query("SELECT page_id, url AS rebuilt FROM pages")
+def url_unparse(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", web.urlunparse(web.urlparse(F.col("url"))).alias("rebuilt"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/x/y' AS rooted, regexp_extract(url, '^([a-z]+):', 1) || '://h/z' AS hosted FROM pages")
+def url_join(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", web.urljoin(u, F.lit("/x/y")).alias("rooted"), web.urljoin(u, F.lit("//h/z")).alias("hosted"))
+
+
+@query("SELECT p_partkey, 'data/' || p_brand || '/' || p_partkey AS normal, '/data/' || p_partkey || '.txt' AS absolute, CAST(p_partkey AS VARCHAR) AS stem, '.txt' AS ext FROM part")
+def path_join_normal(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    messy = paths.join(F.lit("data/./x/.."), F.col("p_brand"), key)
+    file = paths.join(F.lit("ignored"), F.lit("/data"), F.concat(key, F.lit(".txt")))
+    return table(spark, d, "part").select("p_partkey", paths.normpath(messy).alias("normal"), file.alias("absolute"), paths.stem(file).alias("stem"), paths.suffix(file).alias("ext"))
+
+
+@query("SELECT doc_id, replace(replace(base64(encode(left(text, 30))), '+', '-'), '/', '_') AS safe, left(text, 30) AS back, md5(lang) AS named FROM documents")
+def base64_forms(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.encode(F.left("text", F.lit(30)), "utf-8")
+    safe = web.urlsafe_b64encode(raw)
+    return table(spark, d, "documents").select("doc_id", safe.alias("safe"), F.decode(web.urlsafe_b64decode(safe), "utf-8").alias("back"), web.digest(F.col("lang"), "md5").alias("named"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE length(text) < 3000")
+def zlib_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where(F.length("text") < 3000)
+    return docs.select("doc_id", F.decode(web.decompress(web.compress(F.encode("text", "utf-8"))), "utf-8").alias("text"))
+
+
+@query("SELECT p_partkey, lower(hex(encode(p_brand))) AS hexed, upper(p_brand) AS loud, instr(p_brand, '#') - 1 AS hash_at FROM part")
+def bytes_methods(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.encode("p_brand", "utf-8")
+    return table(spark, d, "part").select("p_partkey", text.bytes_hex(raw).alias("hexed"), F.decode(text.bytes_upper(raw), "utf-8").alias("loud"), text.bytes_find(raw, b"#").cast("long").alias("hash_at"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(left(text, 500), 'th')) AS INTEGER) AS n, replace(left(text, 500), 'th', '') AS cut, instr(left(text, 500), 'th') - 1 AS \"start\" FROM documents WHERE contains(left(text, 500), 'th')")
+def regex_subn_iter(spark: SparkSession, d: str) -> DataFrame:
+    x = F.left("text", F.lit(500))
+    rows = table(spark, d, "documents").where(x.contains("th"))
+    sub = regex.subn(x, "th", "")
+    return rows.select("doc_id", sub["n"].alias("n"), sub["text"].alias("cut"), regex.finditer(x, "th")[0]["start"].cast("long").alias("start"))
+
+
+@query("SELECT doc_id, regexp_extract(text, '([A-Z])([a-z]+)', 2) AS tail, len(string_split_regex(left(text, 300), '[.,]')) AS parts FROM documents WHERE regexp_matches(text, '([A-Z])([a-z]+)')")
+def regex_group_split(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("text")
+    rows = table(spark, d, "documents").where(regex.search(x, "([A-Z])([a-z]+)"))
+    return rows.select("doc_id", regex.group(x, "(?P<head>[A-Z])(?P<tail>[a-z]+)", "tail").alias("tail"), F.size(regex.split(F.left(x, F.lit(300)), "[.,]")).cast("long").alias("parts"))
+
+
+@query("SELECT event_type, v[len(v) // 2 + 1] AS median_high FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
+def stats_median_high(spark: SparkSession, d: str) -> DataFrame:
+    return relational.median_high(table(spark, d, "events"), "value", "event_type")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, (SELECT count(*) FROM customer) AS total FROM customer GROUP BY c_mktsegment")
+def counter_elements_total(spark: SparkSession, d: str) -> DataFrame:
+    counts = relational.counter(table(spark, d, "customer"), "c_mktsegment", "c_custkey")
+    spread = relational.elements(counts, "c_mktsegment").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return spread.crossJoin(F.broadcast(relational.total(counts)))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN ['--password', '[REDACTED-argv-value-' || length(s_name) || '-chars]', s_name] ELSE ['--name', s_name, s_name] END[2] AS second FROM supplier")
+def redact_arguments(spark: SparkSession, d: str) -> DataFrame:
+    flag = F.when(F.col("s_nationkey") < 5, "--password").otherwise("--name")
+    red = redaction.redact_argv(F.array(flag, F.col("s_name"), F.col("s_name")))
+    return table(spark, d, "supplier").select("s_suppkey", red["argv"][1].alias("second"))
+
+
+@query("SELECT 'user_' || user_id || '.jsonl' AS file, count(*) AS n FROM events GROUP BY user_id")
+def session_files(spark: SparkSession, d: str) -> DataFrame:
+    name = harvest.session_filename(F.concat(F.lit("user/"), F.col("user_id").cast("string")))
+    return table(spark, d, "events").groupBy(name.alias("file")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT id FROM (SELECT 'doc-' || doc_id AS id FROM documents UNION ALL SELECT 'py-' || substring(sha256(lang), 1, 12) FROM documents)")
+def known_keys(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("program"))
+    return harvest.known_keys(docs)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN true ELSE false END AS only_order FROM orders")
+def set_order_only(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    want = F.concat(F.lit("{"), k, F.lit(", 'b'} x"))
+    got = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("{'b', "), k, F.lit("} x"))).when(F.col("o_orderkey") % 4 == 1, want).otherwise(F.concat(F.lit("{'c', "), k, F.lit("} x")))
+    return table(spark, d, "orders").select("o_orderkey", grading.only_set_order_differs(want, got).alias("only_order"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'line 2: want ''b'', got ''' || o_orderstatus || '''' ELSE 'line 3: want <no line>, got ''c''' END AS diff FROM orders")
+def first_difference(spark: SparkSession, d: str) -> DataFrame:
+    got = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("a\n"), "o_orderstatus")).otherwise("a\nb\nc")
+    return table(spark, d, "orders").select("o_orderkey", grading.first_diff(F.lit("a\nb"), got).alias("diff"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'absolute path outside the sandbox: /tmp/' || s_suppkey || '/x' ELSE '' END AS reason FROM supplier")
+def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    program = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("open('/tmp/"), k, F.lit("/x')"))).otherwise(F.concat(F.lit("get('/api/"), k, F.lit("/x') / 2")))
+    return table(spark, d, "supplier").select("s_suppkey", timing.skip_reason(program, F.array(F.lit("a"))).alias("reason"))
+
+
+@query("SELECT c_custkey, c_custkey % 4 IN (0, 1) AS unstable FROM customer")
+def nondeterminism(spark: SparkSession, d: str) -> DataFrame:
+    program = F.when(F.col("c_custkey") % 4 == 0, "import time; print(time.time())").otherwise("print(sys.argv)")
+    tags = F.when(F.col("c_custkey") % 4 == 1, F.array(F.lit("seeded"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "customer").select("c_custkey", grading.is_nondeterministic(program, tags).alias("unstable"))
+
+
+@query(
+    f"""WITH v AS ({_VERDICTS}), r AS (SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, ['core', 'mid', 'reference'][o_orderkey % 3 + 1] AS predicted FROM orders)
+    SELECT r.entry_id, predicted, CASE WHEN predicted = 'core' AND c.verdict <> 'UNSUPPORTED' THEN 'core' WHEN m.verdict <> 'UNSUPPORTED' THEN 'mid' END AS answered,
+    CAST(CASE WHEN predicted = 'core' AND c.verdict = 'UNSUPPORTED' THEN 2 ELSE 1 END AS BIGINT) AS tries
+    FROM r JOIN v c ON c.entry_id = r.entry_id AND c.engine = 'core' JOIN v m ON m.entry_id = r.entry_id AND m.engine = 'mid' WHERE predicted <> 'reference'"""
+)
+def dispatch_chain(spark: SparkSession, d: str) -> DataFrame:
+    return grading.dispatch(_routes(spark, d).where("predicted <> 'reference'"), _runs(spark, d)[1], LADDER[:2])
+
+
+@query("SELECT CASE WHEN event_id % 5 = 0 THEN 'refused' WHEN event_id % 5 = 1 THEN 'output' WHEN event_id % 5 = 2 THEN 'crash' ELSE 'agreed' END AS judgement, count(*) AS count FROM events GROUP BY 1")
+def fuzz_judged(spark: SparkSession, d: str) -> DataFrame:
+    z = F.col("event_id") % 5
+    engine = F.struct(
+        F.when(z == 0, 90).when(z == 2, 1).otherwise(0).alias("rc"), F.when(z == 0, "").when(z == 1, "x").otherwise("y").alias("stdout"), F.when(z == 0, "core: unsupported: a: b").otherwise("").alias("stderr"), F.lit(False).alias("timed_out")
+    )
+    reference = F.struct(F.lit(0).alias("rc"), F.lit("y").alias("stdout"), F.lit("").alias("stderr"), F.lit(False).alias("timed_out"))
+    return fuzz.tally(table(spark, d, "events").select(fuzz.judge(engine, reference).alias("judgement")))
+
+
+@query("SELECT count(DISTINCT p_brand) AS opens, count(*) FILTER (p_size > 25) AS failed_opens, (SELECT count(*) FROM nation) AS stat_calls FROM part")
+def trace_counts(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    opened = part.select(F.concat(F.lit('openat(AT_FDCWD, "/'), "p_brand", F.lit('", O_RDONLY) = 3')).alias("value"))
+    failed = part.where("p_size > 25").select(F.lit('open("/none") = -1 ENOENT (No such file)').alias("value"))
+    stats = table(spark, d, "nation").select(F.lit('stat("/x", {}) = 0').alias("value"))
+    return gate.parse_trace(opened.unionByName(failed).unionByName(stats))
+
+
+@query("SELECT entry_id, gap, gap / sum(gap) OVER () AS share FROM (SELECT o_orderkey AS entry_id, CAST(o_orderkey % 8 AS DOUBLE) AS gap FROM orders WHERE o_orderkey % 64 = 3)")
+def gap_share(spark: SparkSession, d: str) -> DataFrame:
+    gaps = table(spark, d, "orders").where("o_orderkey % 64 = 3").select(F.col("o_orderkey").alias("entry_id"), (F.col("o_orderkey") % 8).cast("double").alias("gap"))
+    return timing.concentration(gaps, "gap")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '—' ELSE printf('%.2fx', o_orderkey / CAST(o_orderkey % 5 AS DOUBLE)) END AS ratio FROM orders")
+def time_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", timing.ratio(F.col("o_orderkey").cast("double"), (F.col("o_orderkey") % 5).cast("double")).alias("ratio"))
+
+
+@query("SELECT o_orderkey, sqrt(o_totalprice) AS root, CAST(floor(o_totalprice) AS BIGINT) AS low, CAST(ceil(o_totalprice) AS BIGINT) AS high, CAST(abs(o_orderkey - 5000) AS BIGINT) AS dist FROM orders WHERE o_totalprice >= 0")
+def math_functions(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("o_totalprice")
+    return table(spark, d, "orders").where("o_totalprice >= 0").select("o_orderkey", numbers.sqrt(x).alias("root"), numbers.floor(x).alias("low"), numbers.ceil(x).alias("high"), numbers.abs_(F.col("o_orderkey") - 5000).alias("dist"))
+
+
+@query("SELECT e.event_id, n.n_name FROM (SELECT event_id, user_id % 25 AS k FROM events) e LEFT JOIN nation n ON n.n_nationkey = e.k")
+def lookup_join(spark: SparkSession, d: str) -> DataFrame:
+    keyed = table(spark, d, "events").select("event_id", (F.col("user_id") % 25).cast("int").alias("n_nationkey"))
+    return keyed.join(table(spark, d, "nation"), "n_nationkey", "left").select("event_id", "n_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")

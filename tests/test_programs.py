@@ -5,8 +5,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from lathe.functions import numbers, text
-from lathe.operators import harvest, programs
+from lathe.functions import numbers, text, web
+from lathe.operators import grading, harvest, programs
 
 from test_harvest import sighting
 
@@ -72,3 +72,18 @@ def test_struct_and_bytes(spark):
     assert frame.select(text.struct_unpack("<HI", F.col("p")).alias("u")).first().u == [1, 65000]
     with pytest.raises(struct.error):
         text.struct_pack("nonsense!", F.lit(1))
+
+
+def test_registered_modules_and_bytes_of_urls(spark):
+    source = "MP_REGISTER_MODULE(MP_QSTR_math, x);\nMP_REGISTER_EXTENSIBLE_MODULE( MP_QSTR__io, y); MP_REGISTER_MODULE(MP_QSTR_math, z)"
+    row = spark.createDataFrame([(source, "a%FF%41+b")], "s string, u string").select(programs.registered_modules(F.col("s")).alias("m"), web.unquote_to_bytes(F.col("u")).alias("b")).first()
+    assert row.m == ["io", "math"] and bytes(row.b) == b"a\xffA+b"
+
+
+def test_dispatch_moves_on_only_for_refusals(spark):
+    routes = spark.createDataFrame([("a", "core"), ("b", "mid"), ("c", "core"), ("d", "elsewhere")], "entry_id string, predicted string")
+    line = "core: unsupported: x: y"
+    rows = [("a", "core", 90, line), ("a", "mid", 0, ""), ("b", "core", 0, ""), ("b", "mid", 1, ""), ("c", "core", 90, line), ("c", "mid", 90, line), ("d", "core", 90, ""), ("d", "mid", 0, "")]
+    results = spark.createDataFrame(rows, "entry_id string, engine string, returncode int, stderr string")
+    got = {r.entry_id: (r.answered, r.tries) for r in grading.dispatch(routes, results, ["core", "mid"]).collect()}
+    assert got == {"a": ("mid", 2), "b": ("mid", 1), "c": (None, 2), "d": ("core", 1)}
