@@ -27,20 +27,22 @@ from pyspark.sql import functions as F
 from lathe.llm.common import pick, stored
 from lathe.llm.kernels import text_slices, utf8
 
-KINDS = ("email", "phone", "ip", "card", "secret")
+KINDS = ("email", "phone", "ip", "card", "ssn", "secret")
 LABELERS = ("strict", "structure", "gazetteer", "context", "decoy", "border")
 #: Characters on either side of a span in which context words count.
 CONTEXT = 48
 #: Probability from which the span classifier accepts.
 THRESHOLD = 0.5
 EM_ROUNDS = 100
-#: Starting probability that these labelers vote against a true span.
-AGAINST = {"structure": 0.01, "decoy": 0.01, "gazetteer": 0.05}
+#: Most that these labelers may be believed to vote against true spans: a failed
+#: checksum is evidence by its nature, which few examples must not talk away.
+AGAINST = {"strict": 0.02, "structure": 0.01, "decoy": 0.01, "gazetteer": 0.05}
 
 _EMAIL = r"[^\s@<>\"'(),;:\[\]]{1,128}@[^\s@<>\"'(),;:\[\]]{1,255}"
 _IP = r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w])"
 _NUMBER = r"(?<![\w.])(?:\+|\((?=\d{2,4}\)))?\d(?:[ .()/-]{0,2}\d){6,18}(?![\w])"
 _SECRET = r"(?<![\w/+])[A-Za-z0-9_+/-]{16,512}={0,2}(?![\w])"
+_SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _CANDIDATE = re.compile(f"(?P<email>{_EMAIL})|(?P<ip>{_IP})|(?P<number>{_NUMBER})|(?P<secret>{_SECRET})")
 
 _STRICT = {
@@ -48,6 +50,7 @@ _STRICT = {
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
     "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}"),
+    "ssn": re.compile(r"\d{3}-\d{2}-\d{4}"),
     "secret": re.compile(r"AKIA[A-Z0-9]{16}|[0-9a-f]{18,128}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/-]{20,512}={0,2}"),
 }
 TOP_DOMAINS = set("com org net edu gov mil int info biz io dev app example test de fr es it uk nl eu ch at be se no dk pl pt ru cn jp in br us ca au".split())
@@ -58,6 +61,7 @@ CONTEXT_WORDS = {
     "phone": set("phone tel telephone call mobile cell fax contact telefon téléphone teléfono whatsapp".split()),
     "ip": set("ip host server address login connected from client dns".split()),
     "card": set("card visa mastercard amex credit debit payment karte carte tarjeta".split()),
+    "ssn": set("ssn social security taxpayer tin".split()),
     "secret": CREDENTIAL_WORDS,
 }
 DECOY_WORDS = set("version release v isbn issn doi page chapter section figure table license licence commit sha md5 checksum serial total price sum id".split())
@@ -88,10 +92,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
                 continue
         elif kind == "number":
             digits = sum(c.isdigit() for c in m.group())
-            kind = "card" if 13 <= digits <= 19 else "phone"
+            kind = "ssn" if _SSN.fullmatch(m.group()) else "card" if 13 <= digits <= 19 else "phone"
         elif kind == "secret":
             value = m.group()
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            if not value.startswith("AKIA") and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
                 continue
         yield start, end, kind
 
@@ -120,6 +124,10 @@ def votes(text: str, start: int, end: int, kind: str) -> list[int]:
     elif kind == "card":
         structure = 1 if _luhn(digits) else -1
         gazetteer = 1 if CARD_PREFIXES.match(digits) else -1
+    elif kind == "ssn":
+        issued = digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+        structure = 1 if issued and len(set(digits)) > 2 else -1
+        gazetteer = 1 if words & {"ssn", "social"} else 0
     else:
         structure = 1 if _entropy(value) >= 3.0 else -1
         gazetteer = 1 if (before and before[-1] in CREDENTIAL_WORDS) or value.startswith("AKIA") else 0
@@ -182,8 +190,7 @@ class Reliability:
 
 
 def estimate(kind: np.ndarray, vote: np.ndarray, count: np.ndarray) -> Reliability:
-    """EM for the naive Bayes model of votes, started from the belief that votes are right in four cases of five,
-    and that a failed checksum or a decoy word hardly ever goes with a true span."""
+    """EM for the naive Bayes model of votes, started from the belief that votes are right in four cases of five and held to AGAINST."""
     labelers = vote.shape[1]
     start = np.array([[0.4, 0.4, 0.2], [0.1, 0.4, 0.5]])
     table = np.repeat(start[:, None, :], labelers, axis=1)
@@ -200,6 +207,11 @@ def estimate(kind: np.ndarray, vote: np.ndarray, count: np.ndarray) -> Reliabili
             for truth in (0, 1):
                 table[truth, labeler] += np.bincount(vote[:, labeler] + 1, weights=weights[truth], minlength=3)
         table /= table.sum(axis=2, keepdims=True)
+        for labeler, against in AGAINST.items():
+            row = table[1, LABELERS.index(labeler)]
+            if row[0] > against:
+                row[1:] *= (1 - against) / row[1:].sum()
+                row[0] = against
         prior = (1 + np.bincount(kind, weights=weights[1], minlength=len(KINDS))) / (2 + np.bincount(kind, weights=count, minlength=len(KINDS)))
         done = np.abs(table - model.table).max() < 1e-6
         model = Reliability(prior, table)
