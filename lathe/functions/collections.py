@@ -39,7 +39,7 @@ def remove(a: Column, v: Column) -> Column:
     """Without the first equal element; array_remove drops all."""
     at = F.array_position(a, v).cast("int")
     cut = F.concat(F.slice(a, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(a, at + 1, F.size(a)))
-    return F.when(at > 0, cut).otherwise(F.raise_error(F.lit("list.remove(x): x not in list")))
+    return F.when(at > 0, cut).otherwise(F.raise_error(F.lit("the value to remove is not in the list")))
 
 
 def index(a: Column, v: Column) -> Column:

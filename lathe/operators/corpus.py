@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Sorts after every ISO-8601 date: an entry without one never wins by it.
 NO_DATE = "9999"
-IDENTITY = ["id", "program", "argv_tail", "source", "first_seen", "count", "stdin_sample"]
+IDENTITY = "id program argv_tail source first_seen count stdin_sample".split()
 ENTRY = "id string, program string, argv_tail array<string>, source string, first_seen string, count bigint, stdin_sample string, extra variant"
 
 

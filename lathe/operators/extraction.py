@@ -14,8 +14,8 @@ _PYTHON = re.compile(r"(?:\S*/)?(?:python|pypy|micropython)[0-9.]*")
 _MENTIONS = re.compile(r"\b(?:python|pypy|micropython)[0-9.]*\b")
 _BODY_NAME = re.compile("py|python|pyeof|eofpy", re.I)
 _OPERATORS = {";", "&", "&&", "|", "||", "(", ")", "\n"}
-_RUNNERS = {"uv", "pipx", "poetry", "hatch", "pdm", "rye"}
-PYTHONISH = r"\b(?:python|pypy|micropython)[0-9.]*\b|\b(?:uv|pipx|poetry|hatch|pdm|rye)\s+run\b|\bpip[0-9.]*\s+install\b|\bpytest\b"
+_RUNNERS = set("hatch pdm pipx poetry rye uv".split())
+PYTHONISH = r"\b(?:python|pypy|micropython)[0-9.]*\b|\b(?:hatch|pdm|pipx|poetry|rye|uv)\s+run\b|\bpip[0-9.]*\s+install\b|\bpytest\b"
 
 
 def split_heredocs(command: str) -> tuple[str, list[tuple[str, str, str]]]:

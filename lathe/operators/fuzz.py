@@ -99,20 +99,20 @@ def candidates(program: str) -> Iterator[str]:
     yield from sorted((p for p in found if len(p) < len(program)), key=lambda p: (len(p), p))
 
 
-def shrink(program: str, still_fails: Callable[[str], bool], budget: int = 200) -> str:
+def shrink(program: str, fails: Callable[[str], bool], trials: int = 200) -> str:
     """The smallest program that still fails, by greedy steps, within a number of trials."""
     smaller = True
     while smaller:
         smaller = False
         for candidate in candidates(program):
-            if budget <= 0:
+            if trials <= 0:
                 return program
-            budget -= 1
+            trials -= 1
             try:
                 compile(candidate, "<candidate>", "exec")
             except SyntaxError:
                 continue
-            if still_fails(candidate):
+            if fails(candidate):
                 program, smaller = candidate, True
                 break
     return program

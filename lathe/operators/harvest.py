@@ -14,7 +14,7 @@ from lathe.operators.redaction import is_safe, redact, redact_argv
 
 MAX_PROGRAM_BYTES = 64 * 1024
 #: Sources by how directly they saw a program.
-SOURCES = {"shim": 3, "hook": 2, "transcript": 1}
+SOURCES = dict(transcript=1, hook=2, shim=3)
 LOG = "kind string, ts string, session string, command string, program string, argv_tail array<string>"
 OCCURRENCE = ["occ_key", "program", "argv_tail", "source", "session", "ts"]
 
@@ -111,7 +111,7 @@ def combine(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
 
     Idempotent: counts on both sides come from the same occurrences.
     """
-    fields = ["program", "argv_tail", "source", "session", "first_seen", "count", "stdin_sample"]
+    fields = "program argv_tail source session first_seen count stdin_sample".split()
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col(key), F.struct(*fields).alias(name))
@@ -135,7 +135,7 @@ def combine(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
 def fold_into_corpus(corpus: DataFrame, sightings: DataFrame) -> DataFrame:
     """MERGE of sightings into a corpus: new ids are inserted, counts and dates of old ones updated."""
     incoming = sightings.select(
-        F.coalesce("key", content_key(F.col("program"))).alias("id"), *[F.col(c).alias(f"n_{c}") for c in ("program", "argv_tail", "source", "first_seen", "count", "stdin_sample")]
+        F.coalesce("key", content_key(F.col("program"))).alias("id"), *[F.col(c).alias(f"n_{c}") for c in "program argv_tail source first_seen count stdin_sample".split()]
     )
     both = corpus.join(incoming, "id", "full")
     dates = [F.when(F.col(c) != "", F.col(c)) for c in ("first_seen", "n_first_seen")]

@@ -43,19 +43,24 @@ def _roots(tree: ast.AST) -> Iterator[str]:
                 yield module.partition(".")[0]
 
 
+def _loaded(tree: ast.AST) -> Iterator[str]:
+    for node in ast.walk(tree):
+        match node:
+            case ast.Name(id=name, ctx=ast.Load()):
+                yield name
+
+
 def uses(program: str | None) -> tuple[list[str], list[str]] | None:
     """(module roots, built-in names loaded) with repeats, or None for what does not parse."""
     if program is None:
         return None
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
+    with warnings.catch_warnings(action="ignore"):
+        try:
             tree = ast.parse(program)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return None
+        except (MemoryError, RecursionError, SyntaxError, ValueError):
+            return None
     own = set(_stored(tree))
-    loaded = (n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load))
-    return list(_roots(tree)), [n for n in loaded if n in BUILTINS and n not in own]
+    return list(_roots(tree)), [name for name in _loaded(tree) if name in BUILTINS - own]
 
 
 def imports_and_builtins(program: Column) -> Column:

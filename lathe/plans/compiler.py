@@ -61,7 +61,7 @@ _ALLOWED = (
 
 
 def _check(tree: ast.AST, columns: set[str]) -> None:
-    bound = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+    bound = {node.id for node in ast.walk(tree) if isinstance(node, ast.Name) and type(node.ctx) is ast.Store}
     for node in ast.walk(tree):
         if not isinstance(node, _ALLOWED):
             raise Unsupported("syntax", type(node).__name__)
@@ -360,7 +360,7 @@ def compile_expression(text: str, df: DataFrame, returns: DataType | str | None
         pass
     if returns is None:
         raise Unsupported("type", "the result's type must be given for an expression that is not native")
-    used = sorted({n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} & set(schema))
+    used = sorted({getattr(node, "id", None) for node in ast.walk(tree)} & set(schema))
     if not used:
         raise Unsupported("constant", "no column is named")
 

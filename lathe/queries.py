@@ -518,7 +518,7 @@ def aggregate_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return harvest.aggregate(rows.unionByName(rows)).select("key", "program", "session", "first_seen", "count")
 
 
-@query("SELECT conv_id, turn, regexp_matches(text, '\\b(python|pypy|micropython)[0-9.]*\\b|\\b(uv|pipx|poetry|hatch|pdm|rye)\\s+run\\b|\\bpip[0-9.]*\\s+install\\b|\\bpytest\\b') AS pythonish FROM conversations")
+@query("SELECT conv_id, turn, regexp_matches(text, '\\b(python|pypy|micropython)[0-9.]*\\b|\\b(hatch|pdm|pipx|poetry|rye|uv)\\s+run\\b|\\bpip[0-9.]*\\s+install\\b|\\bpytest\\b') AS pythonish FROM conversations")
 def pythonish(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", looks_pythonish(F.col("text")).alias("pythonish"))
 
@@ -839,7 +839,7 @@ def print_row(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", printed.alias("printed"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 86400 AS seconds, make_date(2000, month(o_orderdate), 1) AS replaced, CAST(isodow(o_orderdate) AS INTEGER) AS iso_weekday FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T' || strftime(o_orderdate, '%H:%M:%S') AS iso, CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 86400 AS seconds, make_date(2000, month(o_orderdate), 1) AS replaced, CAST(isodow(o_orderdate) AS INTEGER) AS iso_weekday FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
 def date_iso_delta(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("o_orderdate")
     rows = table(spark, d, "orders").where(x == F.date_trunc("day", x).cast("timestamp_ntz"))

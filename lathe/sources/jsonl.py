@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lathe.operators.corpus import content_key, merge
+from lathe.operators.corpus import IDENTITY, content_key, merge
 
-CORE = ["id", "program", "argv_tail", "source", "first_seen", "count", "stdin_sample"]
-ALIASES = {"stdin": "stdin_sample", "key": "id"}
+CORE = IDENTITY
+ALIASES = dict(key="id", stdin="stdin_sample")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,10 @@
 import os
+import pathlib
 import sys
-from pathlib import Path
 
 import pytest
 
-ROOT = Path(__file__).resolve().parents[1]
+ROOT = pathlib.Path(__file__).absolute().parent.parent
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 sys.path.insert(0, str(ROOT))
 

@@ -32,12 +32,14 @@ ROWS = [
 
 def test_normalise_and_keys(spark):
     def rule(text):
-        lines = [x.rstrip(" \t") for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
-        while lines and not lines[0].strip():
-            lines.pop(0)
-        while lines and not lines[-1].strip():
-            lines.pop()
-        return "\n".join(lines)
+        import itertools
+        import re
+
+        trimmed = [x.rstrip(" \t") for x in re.split("\r\n|\r|\n", text)]
+        blank = lambda x: x.strip() == ""
+        for _ in range(2):
+            trimmed = list(itertools.dropwhile(blank, trimmed))[::-1]
+        return "\n".join(trimmed)
 
     rng = random.Random(1)
     texts = ["".join(rng.choice(" \t\n\r\nabé\x0b") for _ in range(rng.randint(0, 14))) for _ in range(300)] + ["", "\n\n  x  \n\n", "  indented\n\tx \r", "\x0b \n"]
@@ -80,7 +82,7 @@ def test_percentiles_follow_the_index_rule(spark):
 
 def test_jsonl_round_trip_and_corruption(spark, tmp_path):
     lines = [
-        json.dumps({"id": "k1", "program": "print(1)", "argv_tail": ["a"], "count": 3, "first_seen": "2024-01-01", "tags": ["x", 1], "nested": {"é": 1.5}}),
+        json.dumps({"id": "k1", "count": 3, "argv_tail": ["a"], "program": "print(1)", "first_seen": "2024-01-01", "tags": ["x", 1], "nested": {"é": 1.5}}),
         json.dumps({"key": "k2", "program": "print('日本')", "stdin": "data", "count": "many"}),
         json.dumps({"program": "no id"}),
         "",

@@ -266,7 +266,7 @@ def test_web(spark):
         web.digest(F.lit("x"), "whirl")
 
 
-PATHS = ["a/b/c.txt", "/a/b/", "", "/", ".bashrc", "a.tar.gz", "x/..", "..//y/./z", "/../q", "name.", "a//b", "~", "~/x", "dir/.hidden.d"]
+PATHS = ["a/b/c.txt", "/a/b/", "", "/", "a.tar.gz", ".profile", "x/..", "..//y/./z", "/../q", "name.", "a//b", "~", "~/x", "dir/.hidden.d"]
 
 
 def test_paths(spark):

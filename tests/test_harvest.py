@@ -63,11 +63,11 @@ def test_programs():
 
 def log_lines():
     return [
-        {"kind": "python_invocation", "session": "s1", "ts": "2024-01-02", "program": "print(1)  ", "argv_tail": ["a"]},
-        {"kind": "bash_command", "session": "s1", "ts": "2024-01-01", "command": "python -c 'print(1)' && python -c 'print(2)'"},
-        {"kind": "python_invocation", "program": "  "},
+        dict(kind="python_invocation", session="s1", ts="2024-01-02", program="print(1)  ", argv_tail=["a"]),
+        {"ts": "2024-01-01", "kind": "bash_command", "session": "s1", "command": "python -c 'print(1)' && python -c 'print(2)'"},
+        dict(kind="python_invocation", program="  "),
         {"kind": "exit", "session": "s1"},
-        {"kind": "python_invocation", "program": "print(3)", "argv_tail": "bad"},
+        dict(kind="python_invocation", program="print(3)", argv_tail="bad"),
     ]
 
 
