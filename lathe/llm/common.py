@@ -1,16 +1,14 @@
-"""Column picking, shared-folder tables and small SQL helpers of this subpackage."""
+"""Column picking and keys of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathe.session import shared_dir, stored
+
+__all__ = ["LAST_ID", "numbered", "pick", "position", "shared_dir", "sortable_id", "stored", "table", "text_key"]
+
 #: Sort value of a null id: after every real one.
 LAST_ID = (1 << 63) - 1
 
@@ -39,43 +37,10 @@ def position(names: list[str], name: str) -> int:
     return names.index(name) if name in names else [c.lower() for c in names].index(name.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    A temporary folder stands in only where the setting is absent and Spark runs
-    inside one process, as in tests; a cluster without the setting is an error.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        return named
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="lathe-")
-    atexit.register(shutil.rmtree, own, True)
-    sc.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame to the shared folder and read it back: lineage ends there.
-
-    Unlike a local checkpoint the files outlive the executors that wrote them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lathe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def sortable_id(column: Column) -> Column:
     """An id to sort by, nulls last."""
     return F.coalesce(column, F.lit(LAST_ID))

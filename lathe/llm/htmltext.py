@@ -168,6 +168,14 @@ def visible(node: Node, hidden: set[str]) -> bool:
     return node.tag not in hidden and not (node.tag == "dialog" and "open" not in attrs)
 
 
+def _trimmed(lines: list[str]) -> list[str]:
+    """The lines without empty ones at the end."""
+    n = len(lines)
+    while n and not lines[n - 1]:
+        n -= 1
+    return lines[:n]
+
+
 class _Flow:
     """Lines of a block; text gathers in ``inline`` until a block or the end flushes it."""
 
@@ -181,9 +189,7 @@ class _Flow:
             return
         text = _SPACES.sub(" ", "".join(self.inline))
         self.inline = []
-        lines = [x.strip(" ") for x in text.split(_BREAK)]
-        while lines and not lines[-1]:
-            lines.pop()
+        lines = _trimmed([x.strip(" ") for x in text.split(_BREAK)])
         self._add([x for k, x in enumerate(lines) if x or k], 0)
 
     def _add(self, lines: list[str], margin: int) -> None:
@@ -224,10 +230,7 @@ def _walk(node: Node, flow: _Flow, hidden: set[str]) -> None:
 def _lines(node: Node, hidden: set[str]) -> list[str]:
     if node.tag == "pre":
         text = _text(node, hidden)
-        lines = [x.rstrip() for x in (text[1:] if text.startswith("\n") else text).split("\n")]
-        while lines and not lines[-1]:
-            lines.pop()
-        return lines
+        return _trimmed([x.rstrip() for x in text.removeprefix("\n").split("\n")])
     if node.tag in ("ul", "ol", "menu"):
         return _list(node, hidden)
     if node.tag == "table":
