@@ -721,9 +721,10 @@ def revenue_by_nation(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def customers_without_large_orders(spark: SparkSession, d: str) -> DataFrame:
+    large = table(spark, d, "orders").where("o_totalprice > 200000")
+    return table(spark, d, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT event_id, lag(event_id, 1, -1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS nth FROM events")
@@ -732,9 +733,9 @@ def previous_element(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.lag("event_id", 1, -1).over(w).alias("previous"), F.row_number().over(w).alias("nth"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("count"))
+    return table(spark, d, "events").groupBy(dates.strftime(F.col("ts"), "%Y-%m-%d").alias("start"), "event_type").agg(F.count("*").alias("count"))
 
 
 # compiled expressions
@@ -839,20 +840,20 @@ def print_row(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", printed.alias("printed"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T' || strftime(o_orderdate, '%H:%M:%S') AS iso, CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 86400 AS seconds, make_date(2000, month(o_orderdate), 1) AS replaced, CAST(isodow(o_orderdate) AS INTEGER) AS iso_weekday FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T' || strftime(o_orderdate, '%H:%M:%S') AS iso, CAST(datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) * 86400 AS seconds, CAST(make_date(2000, month(o_orderdate), 1) AS VARCHAR) AS replaced, CAST(isodow(o_orderdate) AS INTEGER) AS iso_weekday FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate)")
 def date_iso_delta(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("o_orderdate")
     rows = table(spark, d, "orders").where(x == F.date_trunc("day", x).cast("timestamp_ntz"))
     day = x.cast("date")
     return rows.select(
-        "o_orderkey", dates.isoformat(x).alias("iso"), dates.total_seconds(x, F.lit("1992-01-01").cast("timestamp_ntz")).alias("seconds"), dates.replace(day, year=2000, day=1).alias("replaced"), dates.isoweekday(day).alias("iso_weekday")
+        "o_orderkey", dates.isoformat(x).alias("iso"), dates.total_seconds(x, F.lit("1992-01-01").cast("timestamp_ntz")).alias("seconds"), dates.replace(day, year=2000, day=1).cast("string").alias("replaced"), dates.isoweekday(day).alias("iso_weekday")
     )
 
 
-@query("SELECT event_id, CAST(ts + INTERVAL 90 SECOND AS TIMESTAMP) AS later, floor(epoch(ts)) AS stamp FROM events")
+@query("SELECT event_id, strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%d %H:%M:%S') AS later, floor(epoch(ts)) AS stamp FROM events")
 def date_add(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("ts")
-    return table(spark, d, "events").select("event_id", dates.add_seconds(x, F.lit(90.0)).alias("later"), F.floor(dates.timestamp(x)).cast("double").alias("stamp"))
+    return table(spark, d, "events").select("event_id", dates.strftime(dates.add_seconds(x, F.lit(90.0)), "%Y-%m-%d %H:%M:%S").alias("later"), F.floor(dates.timestamp(x)).cast("double").alias("stamp"))
 
 
 @query("SELECT page_id, url_encode(url) AS quoted, url AS back FROM pages")
