@@ -850,10 +850,10 @@ def date_iso_delta(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, strftime(ts + INTERVAL 90 SECOND, '%Y-%m-%d %H:%M:%S') AS later, floor(epoch(ts)) AS stamp FROM events")
+@query("SELECT event_id, strftime(ts + INTERVAL 90 SECOND, '%H:%M:%S on %d.%m.%Y') AS later, floor(epoch(ts)) AS stamp FROM events")
 def date_add(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("ts")
-    return table(spark, d, "events").select("event_id", dates.strftime(dates.add_seconds(x, F.lit(90.0)), "%Y-%m-%d %H:%M:%S").alias("later"), F.floor(dates.timestamp(x)).cast("double").alias("stamp"))
+    return table(spark, d, "events").select("event_id", dates.strftime(dates.add_seconds(x, F.lit(90.0)), "%H:%M:%S on %d.%m.%Y").alias("later"), F.floor(dates.timestamp(x)).cast("double").alias("stamp"))
 
 
 @query("SELECT page_id, url_encode(url) AS quoted, url AS back FROM pages")
