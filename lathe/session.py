@@ -16,14 +16,26 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
 }
 
+#: Rows in a batch for Python. A row may hold a whole document, and executor and
+#: worker each keep several copies of a batch, outside the heap.
+BATCH_ROWS = 1000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that exists already."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    small_batches(spark)
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of BATCH_ROWS, unless the session asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
