@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.session import shared_dir, stored
+from lathe.session import shared_dir, small_batches, stored
 
 __all__ = ["LAST_ID", "numbered", "pick", "position", "shared_dir", "sortable_id", "stored", "table", "text_key"]
 
@@ -19,6 +19,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     Positions cannot clash, so extra columns of any name (also ones that differ
     from a needed column by case only, or repeat it) do no harm.
     """
+    small_batches(df.sparkSession)
     return df.toDF(*[f"__c{k}" for k in range(len(df.columns))]), df.columns
 
 

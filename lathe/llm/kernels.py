@@ -45,7 +45,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 4 * SLICE_BYTES)
+            n = max(n, SLICE_BYTES + 1)
             with np.errstate(over="ignore"):
                 self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _MULT))])
                 self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, self.inverse))])
