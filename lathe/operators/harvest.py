@@ -73,18 +73,29 @@ def known_keys(corpus: DataFrame) -> DataFrame:
     return corpus.select("id").unionByName(corpus.select(fingerprint(F.col("program")).alias("id"))).where("id is not null").distinct()
 
 
+def _empty_or_trivial(program: Column) -> Column:
+    """empty, trivial (nothing but pass), or an empty string."""
+    text = normalise(F.coalesce(program, F.lit("")))
+    trivial = text.rlike(r"(?U)\A\s*pass\s*(?:\n\s*pass\s*)*\z")
+    return F.when(text == "", "empty").when(trivial, "trivial").otherwise("")
+
+
 def reject_reason(program: Column, known: Column) -> Column:
     """Why a program is not worth publishing: empty, trivial, known; else an empty string."""
-    text = normalise(F.coalesce(program, F.lit("")))
-    trivial = F.forall(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")).isin("", "pass"))
-    return F.when(text == "", "empty").when(trivial, "trivial").when(known, "known").otherwise("")
+    plain = _empty_or_trivial(program)
+    return F.when(plain != "", plain).when(known, "known").otherwise("")
 
 
 def with_reason(rows: DataFrame, program: str, known: DataFrame) -> DataFrame:
-    """The rows with ``reason``; known keys are looked up by a join, whose side Spark chooses by size."""
-    keyed = rows.withColumn("__key", fingerprint(F.col(program)))
+    """The rows with ``reason``; known keys are looked up by a join, whose side Spark chooses by size.
+
+    What depends on the text alone is computed in one projection before the
+    join, where the normalised text is shared.
+    """
+    keyed = rows.withColumns({"__key": fingerprint(F.col(program)), "__plain": _empty_or_trivial(F.col(program))})
     marked = keyed.join(known.select(F.col("id").alias("__known")).distinct(), F.col("__key") == F.col("__known"), "left")
-    return marked.withColumn("reason", reject_reason(F.col(program), F.col("__known").isNotNull())).drop("__key", "__known")
+    reason = F.when(F.col("__plain") != "", F.col("__plain")).when(F.col("__known").isNotNull(), "known").otherwise("")
+    return marked.withColumn("reason", reason).drop("__key", "__known", "__plain")
 
 
 def interesting(rows: DataFrame, program: str, known: DataFrame) -> DataFrame:
