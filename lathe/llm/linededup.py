@@ -47,9 +47,11 @@ class Lines:
         self.data, self.offsets = data, offsets = utf8(column)
         cut = data == 10
         cut[1:] |= (data[1:] == 32) & _END[data[:-1]]
+        # a space at a text's start does not end a line of the text before it
+        head = offsets[:-1][offsets[:-1] < len(data)]
+        cut[head] = data[head] == 10
         inner = np.flatnonzero(cut) + 1
         self.bounds = np.unique(np.concatenate([offsets, inner]))
-        # a space at a text's start does not belong to the text before it
         starts = self.bounds[:-1]
         self.first = np.searchsorted(starts, offsets)
         self.row = np.searchsorted(offsets, starts, side="right") - 1

@@ -78,3 +78,20 @@ def test_lines_cover_the_text(texts):
     for k, t in enumerate(texts):
         parts = [data[lines.bounds[i] : lines.bounds[i + 1]].decode() for i in range(lines.first[k], lines.first[k + 1])]
         assert "".join(parts) == (t or "") and parts == cut(t or "")
+
+
+@pytest.mark.parametrize("before", ["It ends here.", "It ends here", "", None])
+def test_leading_blanks_do_not_depend_on_the_text_before(before):
+    texts = [before, " D. E. F.", "  G! H", "\nI. J", " "]
+    lines = linededup.Lines(pa.array(texts, pa.string()))
+    data = lines.data.tobytes()
+    for k, t in enumerate(texts):
+        assert [data[lines.bounds[i] : lines.bounds[i + 1]].decode() for i in range(lines.first[k], lines.first[k + 1])] == cut(t or "")
+
+
+def test_texts_that_begin_with_a_space(spark):
+    passage = "Delta says one thing. Echo says another thing. Foxtrot ends it."
+    rows = [(1, passage), (2, "Nothing of this is repeated."), (3, f" {passage} An innocent line."), (4, "Neither is this one."), (5, f" {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.deduplicated(df).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows)
