@@ -6,18 +6,18 @@ that miss their target by more than the tolerance get new candidates, drawn from
 the keys that lie between the two nearest boundaries. Then every row goes to its
 shard once and is sorted there.
 
-Shape at scale: the rounds read a stored table of keys and sizes (32 bytes a
-row) and return one number per candidate; the texts are read twice (sizes, then
+Shape at scale: the rounds read a stored table of keys and sizes (18 bytes a
+row and its source) and return one number per candidate; the texts are read twice (sizes, then
 the exchange) and shuffled once.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,28 +30,25 @@ TOLERANCE = 0.01
 #: New candidates per unfinished splitter and round.
 PROBES = 32
 
-_PREFIX = 16
-_WIDTH = _PREFIX + 8
-
 
 def sort_key(source: Column, doc_id: Column) -> Column:
-    """Binary key whose byte order is that of (first 16 bytes of source, doc_id); null ids last, null sources as empty."""
-    prefix = F.rpad(F.substring(F.encode(F.coalesce(source, F.lit("")), "utf-8"), 1, _PREFIX), _PREFIX, F.lit(b"\x00"))
-    number = sortable_id(doc_id.cast("long")).bitwiseXOR(F.lit(-(1 << 63)))
-    return F.concat(prefix, F.unhex(F.lpad(F.hex(number), 16, "0")))
-
+    """Binary key whose byte order is that of (source, doc_id); null ids last, null sources as empty.
 
-def _array(keys: list[bytes]) -> np.ndarray:
-    return np.array(keys, dtype=f"S{_WIDTH}")
+    Two zero bytes end the source and a one byte follows every zero byte in it,
+    so that no source's bytes run on into another's id.
+    """
+    whole = F.replace(F.coalesce(source, F.lit("")), F.lit("\0"), F.lit("\0\1")).cast("binary")
+    number = sortable_id(doc_id.cast("long")).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(whole, F.lit(b"\0\0"), F.unhex(F.lpad(F.hex(number), 16, "0")))
 
 
-def _interval(probes: list[bytes]):
-    """How many boundaries are at or below a key."""
-    bounds = _array(probes)
+def _interval(bounds: list[bytes]):
+    """How many of the sorted boundaries are at or below a key."""
 
     @F.pandas_udf("int")
     def interval(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, _array(list(key)), side="right").astype(np.int32))
+        # numpy's byte strings would pad every key to the longest
+        return pd.Series([bisect_right(bounds, k) for k in key], dtype="int32")
 
     return interval
 
@@ -91,7 +88,7 @@ def splitters(keys: DataFrame, shard_bytes: int, tolerance: float = TOLERANCE) -
             keys.withColumn("part", _interval(edges)("key") if edges else F.lit(0))
             .groupBy("part", F.pmod(F.xxhash64("key"), F.lit(PROBES)).alias("slot"))
         )
-        opened = sorted({int(np.searchsorted(_array(edges), np.bytes_(low), side="right")) if edges else 0 for low in lows})
+        opened = sorted({bisect_right(edges, low) for low in lows})
         edge_keys = F.array(*[F.lit(e) for e in edges]) if edges else F.array(F.lit(b"")).cast("array<binary>")
         fresh = F.when(~F.array_contains(edge_keys, F.col("key")), F.col("key"))
         drawn = slots.agg(F.min_by(fresh, F.when(fresh.isNotNull(), F.xxhash64("key", F.lit(7)))).alias("key")).where(F.col("part").isin(opened))
@@ -129,7 +126,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     A null source sorts like an empty one, a null doc_id after all others. Null
     and empty texts weigh nothing and are kept, as are repeated rows. Sources
-    that agree in their first 16 bytes are one key range. Ties are in any order.
+    count whole, by their bytes. Ties are in any order.
     An extra column named shard is replaced. An empty table gives no rows.
     """
     renamed, names = numbered(docs)
@@ -140,5 +137,5 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     shard = _interval(bounds)(F.col("__key")) if bounds else F.lit(0)
     kept = [f"__c{k}" for k, name in enumerate(names) if name.lower() != "shard"]
     placed = renamed.withColumn("__key", key).withColumn("__shard", shard).repartitionById(len(bounds) + 1, F.col("__shard"))
-    ordered = placed.sortWithinPartitions(F.col(source_at), sortable_id(F.col(id_at)))
+    ordered = placed.sortWithinPartitions(F.coalesce(source_at, F.lit("")), sortable_id(F.col(id_at).cast("long")))
     return ordered.select(*kept, "__shard").toDF(*[n for n in names if n.lower() != "shard"], "shard")

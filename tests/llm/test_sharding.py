@@ -50,3 +50,13 @@ def test_odd_rows(odd_documents, no_documents):
     order = [(r[3] or "", r[0] if r[0] is not None else 1 << 62) for r in sorted(rows, key=lambda r: r.shard)]
     assert order == sorted(order)
     assert sharding.shards(no_documents).count() == 0
+
+
+def test_sources_with_a_long_common_start(spark):
+    sources = ["https://www.example.org/a", "https://www.example.org/b", "https://www.example.org/b\0", "https://www.example.org/b\0c", "https://www.example.org/b\x01", "", None]
+    rows = [(k * 7919 % 1000 - 500, "x" * 100, "en", sources[k % 7], 100) for k in range(700)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), 7_000)
+    placed = got.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
+    placed.sort(key=lambda r: (r.shard, r["at"]))
+    order = [((r.source or "").encode(), r.doc_id) for r in placed]
+    assert order == sorted(order) and {r.shard for r in placed} == set(range(10)) and all(r.shard == r.p for r in placed)
