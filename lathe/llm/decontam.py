@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every run of three words of a test item is looked up in every document. Runs
-that are rare for their item, by the number of documents that hold them, are
-seeds; where a document holds a seed, the words around it are aligned with the
-whole item. The score is the alignment's share of a full match, so edited and
-paraphrased copies score in proportion to what survived.
+Every run of three words of a test item is a seed and is looked up in every
+document. Where a document holds one and the words around it hold enough of the
+item's words for a match at all, they are aligned with the whole item. The score
+is the alignment's share of a full match, so edited and paraphrased copies score
+in proportion to what survived. How many documents hold a run does not count:
+copies make the runs of an item common.
 
-Shape at scale: two scans of the documents and no shuffle of texts. What each
+Shape at scale: one scan of the documents and no shuffle of texts. What each
 task needs of the benchmark travels with the task only up to MAX_SEEDS runs of
 words; a larger benchmark is worked off in blocks of that size, one scan each.
 """
@@ -27,8 +28,6 @@ from lathe.llm.kernels import Words, text_slices
 
 #: Words in a seed. Items with fewer words are no evidence and match nothing.
 GRAM = 3
-#: A run of words in this many times as many documents as its item's median run is no seed.
-COMMON = 4
 #: Runs of words that travel with a task at once (16 bytes each).
 MAX_SEEDS = 1 << 20
 #: Share of a full match from which a document counts as contaminated.
@@ -36,6 +35,8 @@ THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignments that are computed at once.
 ALIGN_BLOCK = 512
+#: Places of seeds that are held against the items at once.
+PLACES = 1 << 18
 
 _TABLE_BITS = 22
 
@@ -82,46 +83,30 @@ def blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _counter(hashes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(hashes)
-        seen = np.zeros(len(index.hashes), np.int64)
-        for batch in batches:
-            for start, stop in text_slices(batch.column("text")):
-                words = Words(batch.column("text").slice(start, stop - start))
-                at, h = words.grams(GRAM)
-                place, which = index.find(h)
-                pair = np.unique(words.row[at[place]] * len(index.hashes) + which)
-                seen += np.bincount(pair % max(1, len(index.hashes)), minlength=len(index.hashes))
-        some = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(index.hashes[some].view(np.int64)), pa.array(seen[some])], names=["h", "df"])
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of words as rows of one table, and where it is filled."""
+    out = np.zeros((len(parts), max(map(len, parts))), np.uint64)
+    used = np.zeros(out.shape, bool)
+    for k, x in enumerate(parts):
+        out[k, : len(x)], used[k, : len(x)] = x, True
+    return out, used
 
-    return run
 
-
-def seeds_of(grams: pd.DataFrame, df: dict[int, int]) -> pd.DataFrame:
-    """The runs of words that are rare for their item.
-
-    The measure is the item's median over the runs that occur at all: a run in
-    more than COMMON times as many documents is common. At least half of the
-    occurring runs stay, also where the item is copied into many documents, and
-    an edited copy beside them is not lost for what it shares with them.
-    """
-    count = grams["h"].map(lambda h: df.get(int(np.uint64(h).view(np.int64)), 0))
-    usual = count.where(count > 0).groupby(grams["item"]).transform("median")
-    return grams[(count > 0) & (count <= COMMON * usual)]
+def present(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """How many words of each item its passage holds somewhere; no alignment matches more."""
+    a, used_a = _padded(items)
+    b, used_b = _padded(passages)
+    found = np.zeros(a.shape, bool)
+    for j in range(b.shape[1]):
+        found |= (a == b[:, j : j + 1]) & used_b[:, j : j + 1]
+    return (found & used_a).sum(axis=1)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each item with its passage: score and the passage's word after it."""
-    n = len(items)
-    m, k = max(map(len, items)), max(map(len, passages))
-    a = np.zeros((n, m), np.uint64)
-    b = np.zeros((n, k), np.uint64)
-    used_a, used_b = np.zeros((n, m), bool), np.zeros((n, k), bool)
-    for i, (x, y) in enumerate(zip(items, passages)):
-        a[i, : len(x)], used_a[i, : len(x)] = x, True
-        b[i, : len(y)], used_b[i, : len(y)] = y, True
+    a, used_a = _padded(items)
+    b, used_b = _padded(passages)
+    (n, m), k = a.shape, b.shape[1]
     ramp = (np.arange(m + 1, dtype=np.int32) * -GAP)[None, :]
     row = np.zeros((n, m + 1), np.int32)
     best, end = np.zeros(n, np.int32), np.zeros(n, np.int64)
@@ -153,42 +138,51 @@ def _aligner(items: list[tuple[int, str]], seeds: pd.DataFrame) -> Callable[[Ite
         own = Words(pa.array(texts, pa.string()))
         length = np.diff(own.first)
         slack = np.maximum(8, length // 2)
+
+        def pairs(words: Words, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            return [own.hash[own.first[i] : own.first[i + 1]] for i in item], [words.hash[b:e] for b, e in zip(begin, end)]
+
         for batch in batches:
             for start, stop in text_slices(batch.column("text")):
                 words = Words(batch.column("text").slice(start, stop - start))
                 at, h = words.grams(GRAM)
-                place, which = index.find(h)
-                if not len(place):
-                    continue
-                count = hi[which] - lo[which]
-                inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                seed = order[np.repeat(lo[which], count) + inside]
-                word = at[np.repeat(place, count)]
-                item = seed_item[seed]
-                row = words.row[word]
-                begin = word - seed_at[seed] - slack[item]
-                by = np.lexsort((begin, item, row))
-                row, item, begin = row[by], item[by], begin[by]
-                keep = _spread(row, item, begin, slack)
-                row, item, begin = row[keep], item[keep], begin[keep]
-                end = np.minimum(begin + length[item] + 2 * slack[item], words.first[row + 1])
-                begin = np.maximum(begin, words.first[row])
-                score, until = np.zeros(len(row)), np.zeros(len(row), np.int64)
-                similar = np.argsort(length[item], kind="stable")
-                for s in range(0, len(row), ALIGN_BLOCK):
-                    part = similar[s : s + ALIGN_BLOCK]
-                    best, stop_at = align(
-                        [own.hash[own.first[i] : own.first[i + 1]] for i in item[part]],
-                        [words.hash[b:e] for b, e in zip(begin[part], end[part])],
+                places, whiches = index.find(h)
+                running = np.cumsum(hi[whiches] - lo[whiches])
+                cuts = np.unique(np.searchsorted(running, np.arange(PLACES, running[-1] + 1, PLACES), side="right")) if len(places) else []
+                for place, which in zip(np.split(places, cuts), np.split(whiches, cuts)):
+                    if not len(place):
+                        continue
+                    count = hi[which] - lo[which]
+                    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                    seed = order[np.repeat(lo[which], count) + inside]
+                    word = at[np.repeat(place, count)]
+                    item = seed_item[seed]
+                    row = words.row[word]
+                    begin = word - seed_at[seed] - slack[item]
+                    by = np.lexsort((begin, item, row))
+                    row, item, begin = row[by], item[by], begin[by]
+                    keep = _spread(row, item, begin, slack)
+                    row, item, begin = row[keep], item[keep], begin[keep]
+                    end = np.minimum(begin + length[item] + 2 * slack[item], words.first[row + 1])
+                    begin = np.maximum(begin, words.first[row])
+                    score, until = np.zeros(len(row)), np.zeros(len(row), np.int64)
+                    similar = np.argsort(length[item], kind="stable")
+                    able = np.zeros(len(row), bool)
+                    for s in range(0, len(row), ALIGN_BLOCK):
+                        part = similar[s : s + ALIGN_BLOCK]
+                        able[part] = present(*pairs(words, item[part], begin[part], end[part])) >= THRESHOLD * length[item[part]]
+                    similar = similar[able[similar]]
+                    for s in range(0, len(similar), ALIGN_BLOCK):
+                        part = similar[s : s + ALIGN_BLOCK]
+                        best, stop_at = align(*pairs(words, item[part], begin[part], end[part]))
+                        score[part] = best / (MATCH * length[item[part]])
+                        until[part] = begin[part] + stop_at - words.first[row[part]]
+                    hit = score >= THRESHOLD
+                    take = pa.array(row[hit] + start)
+                    yield pa.record_batch(
+                        [batch.column("id").take(take), batch.column("tk").take(take), pa.array(ids[item[hit]]), pa.array(score[hit]), pa.array(until[hit])],
+                        names=["id", "tk", "item_id", "score", "end_word"],
                     )
-                    score[part] = best / (MATCH * length[item[part]])
-                    until[part] = begin[part] + stop_at - words.first[row[part]]
-                hit = score >= THRESHOLD
-                take = pa.array(row[hit] + start)
-                yield pa.record_batch(
-                    [batch.column("id").take(take), batch.column("tk").take(take), pa.array(ids[item[hit]]), pa.array(score[hit]), pa.array(until[hit])],
-                    names=["id", "tk", "item_id", "score", "end_word"],
-                )
 
     return run
 
@@ -210,11 +204,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     found = []
     for block in blocks([(r.item_id, r.text) for r in items.toLocalIterator()]):
-        grams = item_grams(block)
-        counts = rows.mapInArrow(_counter(grams["h"].to_numpy(np.uint64)), "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-        # at most MAX_SEEDS rows
-        seeds = seeds_of(grams, {r.h: r.df for r in counts.toLocalIterator()})
-        found.append(rows.mapInArrow(_aligner(block, seeds), "id long, tk long, item_id long, score double, end_word long"))
+        found.append(rows.mapInArrow(_aligner(block, item_grams(block)), "id long, tk long, item_id long, score double, end_word long"))
     empty = rows.sparkSession.createDataFrame([], "id long, tk long, item_id long, score double, end_word long")
     best = reduce(DataFrame.unionByName, found, empty).groupBy("id", "tk", "item_id")
     return best.agg(F.max("score").alias("score"), F.max_by("end_word", F.struct("score", -F.col("end_word"))).alias("end_word"))

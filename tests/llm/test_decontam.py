@@ -86,3 +86,27 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert decontam.contaminated(no_documents, bench).count() == 0
     assert decontam.contaminated(odd_documents, bench.where("false")).count() == 0
     assert decontam.drop_contaminated(odd_documents, bench.where("false")).count() == odd_documents.count()
+
+
+def test_group_of_edited_copies_beside_one_exact_copy(spark):
+    item = [f"term{k}" for k in range(30)]
+    edited = [f"other{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    rows = [(0, " ".join(item))]
+    rows += [(n, " ".join([f"before{n}x{k}" for k in range(50)] + edited + [f"after{n}x{k}" for k in range(50)])) for n in range(1, 41)]
+    # a run of the item alone is no copy
+    rows += [(n, f"lead{n} term0 term1 term2 and nothing else of it") for n in range(41, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == set(range(41))
+
+
+def test_places_in_parts(spark, tiny, monkeypatch):
+    docs, bench = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
+    whole = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "PLACES", 5)
+    aligner = decontam._aligner([(r.item_id, r.text) for r in bench.collect()], decontam.item_grams([(r.item_id, r.text) for r in bench.collect()]))
+    import pyarrow as pa
+
+    rows = docs.collect()
+    batch = pa.record_batch([pa.array([r.doc_id for r in rows]), pa.array([0] * len(rows)), pa.array([r.text for r in rows])], names=["id", "tk", "text"])
+    assert {(a, b) for out in aligner(iter([batch])) for a, b in zip(out["id"].to_pylist(), out["item_id"].to_pylist())} == whole
