@@ -20,7 +20,7 @@ from lathe.llm.common import pick
 #: Share of its characters that a document must keep; blanks around lines and
 #: boilerplate are not counted.
 LEAST_KEPT = 0.5
-#: Lines of fewer characters may be in capitals.
+#: Lines of this many characters or more may not have more capitals than small letters.
 SHOUT_FROM = 20
 #: Lines of fewer words must end like a sentence.
 CUT_FROM = 5
@@ -63,12 +63,11 @@ def line_passes(line: Column) -> Column:
     """Whether a trimmed, non-empty line that is no boilerplate passes every rule."""
     size = F.length(line)
     symbols = F.length(F.regexp_replace(line, PLAIN, ""))
-    lower = F.length(F.regexp_replace(line, NOT_LOWER, ""))
+    calm = F.length(F.regexp_replace(line, NOT_UPPER, "")) <= F.length(F.regexp_replace(line, NOT_LOWER, ""))
     worded = _with(
         F.split(line, " "),
         lambda w: (line.rlike(ENDS) | (F.size(w) >= CUT_FROM)) & ((F.size(w) < REPEAT_FROM) | (F.size(F.array_distinct(w)) * 5 >= F.size(w))),
     )
-    calm = _with(F.length(F.regexp_replace(line, NOT_UPPER, "")), lambda upper: (upper * 3 <= size) | (upper <= lower))
     return worded & (symbols * 10 <= size) & ((size < SHOUT_FROM) | calm) & ~line.rlike(NAVIGATION)
 
 
@@ -114,8 +113,7 @@ WITH l AS (
   SELECT doc_id, lines, content, list_filter(content, lambda x: (regexp_matches(x, {_q(ENDS)}) OR len(string_split(x, ' ')) >= {CUT_FROM})
     AND (len(string_split(x, ' ')) < {REPEAT_FROM} OR len(list_distinct(string_split(x, ' '))) * 5 >= len(string_split(x, ' ')))
     AND length(regexp_replace(x, {_q(PLAIN)}, '', 'g')) * 10 <= length(x)
-    AND (length(x) < {SHOUT_FROM} OR length(regexp_replace(x, {_q(NOT_UPPER)}, '', 'g')) * 3 <= length(x)
-      OR length(regexp_replace(x, {_q(NOT_UPPER)}, '', 'g')) <= length(regexp_replace(x, {_q(NOT_LOWER)}, '', 'g')))
+    AND (length(x) < {SHOUT_FROM} OR length(regexp_replace(x, {_q(NOT_UPPER)}, '', 'g')) <= length(regexp_replace(x, {_q(NOT_LOWER)}, '', 'g')))
     AND NOT regexp_matches(x, {_q(NAVIGATION)})) AS good
   FROM c
 )

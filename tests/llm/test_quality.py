@@ -14,7 +14,7 @@ def passes(line):
     if sum(c in "#$%&*|<>{}[]\\^~_=+@" for c in line) * 10 > len(line):
         return False
     upper, lower = sum(c.isupper() for c in line), sum(c.islower() for c in line)
-    if len(line) >= quality.SHOUT_FROM and upper * 3 > len(line) and upper > lower:
+    if len(line) >= quality.SHOUT_FROM and upper > lower:
         return False
     marks = [k for k, w in enumerate(words) if w in "| » › > · •".split()]
     # the rule's first mark may be glued to what precedes it only at a blank
@@ -58,6 +58,7 @@ def test_rules(spark):
         "Home | Products | About us | Contact": False,
         "THIS IS SHOUTED FROM THE ROOF TOPS!!": False,
         "We use cookies to improve your visit to this site.": False,
+        "SKU 4471-0092-3381 QTY 12 PRICE 19.99": False,
         "### $$$ %%% &&& some words *** @@@ ###.": False,
         "spam " * 30 + "end.": False,
         "An honest line that was cut before its": True,
