@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import pick
 
-#: Share of its characters that a document must keep; blanks around lines and
-#: boilerplate are not counted.
+#: Share of the characters of its lines that a document must keep; blanks
+#: around lines are not counted.
 LEAST_KEPT = 0.5
 #: Lines of this many characters or more may not have more capitals than small letters.
 SHOUT_FROM = 20
@@ -30,13 +30,22 @@ REPEAT_FROM = 20
 # the same in Java's and RE2's dialect
 ENDS = "[.!?:;…][\"')\\]”’»]*$"
 NAVIGATION = "(^| )(\\||»|›|>|·|•)( .*)? (\\||»|›|>|·|•)( |$)"
-#: In lower case, anywhere in a line; plain searches, as an alternation of this
-#: size costs several times all the other rules.
+#: Phrases that make a line of at most BOILERPLATE_WORDS words boilerplate, in
+#: lower case; as words of their own, not as parts of words. A longer line is
+#: prose that mentions them.
 BOILERPLATE = (
-    "all rights reserved", "©", "is licensed under the", "terms of use", "terms of service", "privacy policy", "cookie", "enable javascript",
-    "subscribe to", "sign in", "sign up", "log in to", "login to", "click here", "read more", "share this", "share on",
+    "all rights reserved", "©", "is licensed under the", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies",
+    "use cookies", "accept cookies", "cookie settings", "enable javascript", "subscribe to", "sign in", "sign up", "log in to", "login to",
+    "click here", "read more", "share this", "share on", "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen",
+    "cookies akzeptieren", "hier klicken", "weiterlesen", "tous droits réservés", "politique de confidentialité", "mentions légales",
+    "accepter les cookies", "cliquez ici", "lire la suite", "todos los derechos reservados", "política de privacidad", "términos de uso",
+    "aceptar cookies", "haga clic aquí", "leer más",
 )
 BOILERPLATE_STARTS = ("copyright", "licensed under", "released under")
+BOILERPLATE_WORDS = 30
+# a plain search comes first, as an alternation of this size costs several times all the other rules
+_EDGE = "[^\\p{L}\\p{N}]"
+BORDERED = f"(^|{_EDGE})({'|'.join(BOILERPLATE)})($|{_EDGE})|^({'|'.join(BOILERPLATE_STARTS)})($|{_EDGE})"
 PLAIN = "[^#$%&*|<>{}\\[\\]\\\\^~_=+@]+"
 NOT_LOWER = "[^\\p{Ll}]+"
 NOT_UPPER = "[^\\p{Lu}]+"
@@ -49,18 +58,16 @@ def _with(value: Column, test: Callable[[Column], Column]) -> Column:
 
 def is_boilerplate(line: Column) -> Column:
     def test(low: Column) -> Column:
-        out = F.lit(False)
-        for phrase in BOILERPLATE_STARTS:
-            out = out | low.startswith(phrase)
-        for phrase in BOILERPLATE:
-            out = out | low.contains(phrase)
-        return out
+        found = F.lit(False)
+        for phrase in (*BOILERPLATE, *BOILERPLATE_STARTS):
+            found = found | low.contains(phrase)
+        return found & low.rlike(BORDERED) & (F.size(F.split(low, " ")) <= BOILERPLATE_WORDS)
 
     return _with(F.lower(line), test)
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a trimmed, non-empty line that is no boilerplate passes every rule."""
+    """Whether a trimmed, non-empty line passes every rule but that on boilerplate."""
     size = F.length(line)
     symbols = F.length(F.regexp_replace(line, PLAIN, ""))
     calm = F.length(F.regexp_replace(line, NOT_UPPER, "")) <= F.length(F.regexp_replace(line, NOT_LOWER, ""))
@@ -74,7 +81,8 @@ def line_passes(line: Column) -> Column:
 def cleaned(docs: DataFrame) -> DataFrame:
     """(doc_id, text, removed_lines) of every document that keeps enough: its text without failing lines.
 
-    Lines are trimmed; blank lines go without counting as removed. Null, empty
+    Lines are trimmed; blank lines go without counting as removed. What any rule
+    removes, boilerplate too, counts as lost. Null, empty
     and blank texts have nothing to keep and are rejected. A null doc_id stays
     null; repeated rows are judged alike; texts are read whole. Extra columns
     are ignored. An empty table gives no rows.
@@ -88,13 +96,12 @@ def cleaned(docs: DataFrame) -> DataFrame:
         return df.withColumn("__one", F.explode(F.array(packed))).select(*df.columns, "__one.*")
 
     split = once(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lines=lines).drop("text")
-    content = once(split, content=F.filter("lines", lambda x: ~is_boilerplate(x)))
-    judged = once(content, good=F.filter("content", line_passes))
+    judged = once(split, good=F.filter("lines", lambda x: line_passes(x) & ~is_boilerplate(x)))
 
     def chars(name: str) -> Column:
         return F.aggregate(name, F.lit(0), lambda a, x: a + F.length(x))
 
-    enough = (F.size("good") > 0) & (chars("good") >= LEAST_KEPT * chars("content"))
+    enough = (F.size("good") > 0) & (chars("good") >= LEAST_KEPT * chars("lines"))
     return judged.where(enough).select("doc_id", F.array_join("good", "\n").alias("text"), (F.size("lines") - F.size("good")).alias("removed_lines"))
 
 
@@ -102,21 +109,19 @@ def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_BOILERPLATE_SQL = " OR ".join([f"contains(lower(x), {_q(p)})" for p in BOILERPLATE] + [f"starts_with(lower(x), {_q(p)})" for p in BOILERPLATE_STARTS])
+_BOILERPLATE_SQL = f"regexp_matches(lower(x), {_q(BORDERED)}) AND len(string_split(x, ' ')) <= {BOILERPLATE_WORDS}"
 
 SQL = f"""
 WITH l AS (
   SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r]', ' ', 'g'), ' ')), lambda x: x <> '') AS lines FROM documents
-), c AS (
-  SELECT *, list_filter(lines, lambda x: NOT ({_BOILERPLATE_SQL})) AS content FROM l
 ), j AS (
-  SELECT doc_id, lines, content, list_filter(content, lambda x: (regexp_matches(x, {_q(ENDS)}) OR len(string_split(x, ' ')) >= {CUT_FROM})
+  SELECT doc_id, lines, list_filter(lines, lambda x: (regexp_matches(x, {_q(ENDS)}) OR len(string_split(x, ' ')) >= {CUT_FROM})
     AND (len(string_split(x, ' ')) < {REPEAT_FROM} OR len(list_distinct(string_split(x, ' '))) * 5 >= len(string_split(x, ' ')))
     AND length(regexp_replace(x, {_q(PLAIN)}, '', 'g')) * 10 <= length(x)
     AND (length(x) < {SHOUT_FROM} OR length(regexp_replace(x, {_q(NOT_UPPER)}, '', 'g')) <= length(regexp_replace(x, {_q(NOT_LOWER)}, '', 'g')))
-    AND NOT regexp_matches(x, {_q(NAVIGATION)})) AS good
-  FROM c
+    AND NOT regexp_matches(x, {_q(NAVIGATION)}) AND NOT ({_BOILERPLATE_SQL})) AS good
+  FROM l
 )
 SELECT doc_id, array_to_string(good, chr(10)) AS text, CAST(len(lines) - len(good) AS INTEGER) AS removed_lines
-FROM j WHERE len(good) > 0 AND list_sum(list_transform(good, lambda x: length(x))) >= {LEAST_KEPT} * list_sum(list_transform(content, lambda x: length(x)))
+FROM j WHERE len(good) > 0 AND list_sum(list_transform(good, lambda x: length(x))) >= {LEAST_KEPT} * list_sum(list_transform(lines, lambda x: length(x)))
 """

@@ -22,15 +22,24 @@ def passes(line):
 
 
 def boilerplate(line):
-    low = line.lower()
-    return any(p in low for p in quality.BOILERPLATE) or low.startswith(quality.BOILERPLATE_STARTS)
+    low = " " + line.lower() + " "
+
+    def bordered(p):
+        at = low.find(p)
+        while at >= 0:
+            if not low[at - 1].isalnum() and not low[at + len(p)].isalnum():
+                return True
+            at = low.find(p, at + 1)
+        return False
+
+    starts = any(low[1:].startswith(p) and not low[1 + len(p)].isalnum() for p in quality.BOILERPLATE_STARTS)
+    return len(line.split(" ")) <= quality.BOILERPLATE_WORDS and (starts or any(map(bordered, quality.BOILERPLATE)))
 
 
 def brute(text):
     lines = [x for x in (y.replace("\t", " ").replace("\r", " ").strip(" ") for y in (text or "").split("\n")) if x]
-    content = [x for x in lines if not boilerplate(x)]
-    good = [x for x in content if passes(x)]
-    if good and sum(map(len, good)) >= quality.LEAST_KEPT * sum(map(len, content)):
+    good = [x for x in lines if passes(x) and not boilerplate(x)]
+    if good and sum(map(len, good)) >= quality.LEAST_KEPT * sum(map(len, lines)):
         return "\n".join(good), len(lines) - len(good)
     return None
 
@@ -57,6 +66,10 @@ def test_rules(spark):
         "Menu": False,
         "Home | Products | About us | Contact": False,
         "THIS IS SHOUTED FROM THE ROOF TOPS!!": False,
+        "They design inclusive tools and share only what holds.": True,
+        "She left a cookie and a glass of milk on the table.": True,
+        "Mentions légales": False,
+        "To sign in is easy, says the long report, which goes on to list every door and every key of the house, " * 2 + "at length.": True,
         "We use cookies to improve your visit to this site.": False,
         "SKU 4471-0092-3381 QTY 12 PRICE 19.99": False,
         "### $$$ %%% &&& some words *** @@@ ###.": False,
@@ -69,6 +82,13 @@ def test_rules(spark):
         assert (row.removed_lines == 0) == good, line
 
 
+def test_boilerplate_counts_as_lost(spark):
+    notice = "We use cookies to improve your visit to this site.\n"
+    rows = [(1, "One good sentence stands at the top.\n" + notice * 100), (2, "One good sentence stands at the top.\n" * 3 + notice)]
+    got = quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.removed_lines) for r in got] == [(2, 1)]
+
+
 def test_odd_rows(odd_documents, no_documents):
     got = quality.cleaned(odd_documents).collect()
     ids = [r.doc_id for r in got]
