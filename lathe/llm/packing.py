@@ -6,9 +6,14 @@ filled one at a time: greedily, the longest piece that fits first; when nothing
 fits any more, the shortest piece of the sequence is replaced by the two unpacked
 pieces that fill its place most tightly, if they fill it better.
 
+A sequence of one piece may lose it that way as any other: its only piece is its
+shortest.
+
 Shape at scale: only (id, length) is shuffled, into shards of about
 ROWS_PER_SHARD pieces that are packed independently; a shard's lengths lie in a
-bit set, so finding the best piece or pair takes microseconds.
+bit set, so finding the best piece or pair takes microseconds. One shard holds
+all pieces of a small table; more of them differ from that only in which pieces
+meet, and each leaves at most its last sequences short.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ from lathe.llm.common import pick, sortable_id, stored, text_key
 CAPACITY = 16384
 #: Pieces that are packed together; more shards leave a little more padding.
 ROWS_PER_SHARD = 50_000
+#: Sums of pairs this far below the largest that fits are tried one by one; pairs
+#: of many lengths have some sum there.
+NEAR = 64
 
 
 class Unpacked:
@@ -60,7 +68,8 @@ class Unpacked:
     def pair(self, least: int, most: int) -> tuple[int, int] | None:
         """Two lengths with the largest sum in least..most; of those the pair with the longest piece."""
         most = min(most, 2 * max(self.up.bit_length() - 1, 0))
-        for total in range(most, least - 1, -1):
+        near = max(least, most - NEAR)
+        for total in range(most, near - 1, -1):
             # bit a stays where a and total - a are both present
             shift = self.capacity - total
             both = self.up & (self.down >> shift if shift >= 0 else self.down << -shift)
@@ -69,7 +78,21 @@ class Unpacked:
                 if 2 * a != total or len(self.queues[a]) > 1:
                     return a, total - a
                 both ^= 1 << a
-        return None
+        return self._distant_pair(least, near - 1)
+
+    def _distant_pair(self, least: int, most: int) -> tuple[int, int] | None:
+        """The same by two pointers into the lengths: where sums are sparse, the lengths are few."""
+        sizes = sorted(length for length, queue in self.queues.items() if queue and length < most)
+        best, i, j = None, 0, len(sizes) - 1
+        while i <= j:
+            total = sizes[i] + sizes[j]
+            if total > most:
+                j -= 1
+                continue
+            if total >= least and (i < j or len(self.queues[sizes[i]]) > 1):
+                best, least = (sizes[j], sizes[i]), total + 1
+            i += 1
+        return best
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -82,13 +105,12 @@ def pack(lengths: list[int], capacity: int) -> list[list[int]]:
         while length := rest.longest(gap):
             chosen.append(rest.take(length))
             gap -= length
-        if len(chosen) > 1:
-            smallest = lengths[chosen[-1]]
-            two = rest.pair(smallest + 1, gap + smallest)
-            if two:
-                k = chosen.pop()
-                chosen += [rest.take(two[0]), rest.take(two[1])]
-                rest.put(k, smallest, front=True)
+        smallest = lengths[chosen[-1]]
+        two = rest.pair(smallest + 1, gap + smallest)
+        if two:
+            k = chosen.pop()
+            chosen += [rest.take(two[0]), rest.take(two[1])]
+            rest.put(k, smallest, front=True)
         out.append(chosen)
     return out
 

@@ -17,27 +17,27 @@ def naive(lengths, capacity):
                 chosen.append(k)
                 rest.remove(k)
                 gap -= lengths[k]
-        if len(chosen) > 1:
-            small = lengths[chosen[-1]]
-            best = max(
-                ((lengths[a] + lengths[b], max(lengths[a], lengths[b])) for i, a in enumerate(rest) for b in rest[i + 1 :] if small < lengths[a] + lengths[b] <= gap + small),
-                default=None,
-            )
-            if best:
-                back = chosen.pop()
-                for size in (best[1], best[0] - best[1]):
-                    k = next(k for k in rest if lengths[k] == size)
-                    rest.remove(k)
-                    chosen.append(k)
-                at = next((i for i, k in enumerate(rest) if lengths[k] <= small), len(rest))
-                rest.insert(at, back)
+        small = lengths[chosen[-1]]
+        best = max(
+            ((lengths[a] + lengths[b], max(lengths[a], lengths[b])) for i, a in enumerate(rest) for b in rest[i + 1 :] if small < lengths[a] + lengths[b] <= gap + small),
+            default=None,
+        )
+        if best:
+            back = chosen.pop()
+            for size in (best[1], best[0] - best[1]):
+                k = next(k for k in rest if lengths[k] == size)
+                rest.remove(k)
+                chosen.append(k)
+            at = next((i for i, k in enumerate(rest) if lengths[k] <= small), len(rest))
+            rest.insert(at, back)
         out.append(chosen)
     return out
 
 
 @pytest.mark.parametrize("seed", range(30))
-def test_pack_is_the_naive_rule(seed):
+def test_pack_is_the_naive_rule(seed, monkeypatch):
     rng = random.Random(seed)
+    monkeypatch.setattr(packing, "NEAR", rng.choice([0, 3, 64]))
     capacity = rng.choice([10, 64, 200])
     lengths = sorted((rng.randint(1, capacity) for _ in range(rng.randint(0, 60))), reverse=True)
     got, want = packing.pack(lengths, capacity), naive(lengths, capacity)
@@ -51,6 +51,10 @@ def test_two_small_pieces_replace_one():
     assert [sorted([6, 3, 2, 2][k] for k in x) for x in packing.pack([6, 3, 2, 2], 10)] == [[2, 2, 6], [3]]
 
 
+def test_the_only_piece_of_a_sequence_gives_way_too():
+    assert [[[60, 50, 50][k] for k in x] for x in packing.pack([60, 50, 50], 100)] == [[50, 50], [60]]
+
+
 def spans(rows):
     return sorted((i is None, i or 0, s, n) for r in rows for i, s, n in zip(r.doc_ids, r.starts, r.lengths))
 
