@@ -3,15 +3,20 @@
 A tokenizer feeds a tree builder that knows void elements, implied end tags and
 raw-text elements; visibility rules prune the tree; what is left is laid out:
 blocks on lines of their own with blank lines where browsers leave a margin,
-list items with markers and indentation, table cells in aligned columns.
+list items with markers and indentation, table cells in aligned columns, line by
+line, with spans over columns and rows.
 
-Shape at scale: one map over the pages, no shuffle, linear in a page's length.
+Shape at scale: one map over the pages, no shuffle. Neither the parser nor the
+layout recurses, and both look up open elements by name instead of searching for
+them, so nesting of any depth takes time linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,14 +25,20 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import pick
 
-#: Elements nested deeper are attached to the one at this depth.
-MAX_DEPTH = 150
-#: Table cells are padded up to this width; longer ones run over.
-MAX_CELL = 40
+#: Indentation grows up to this column; deeper blocks stand there.
+MAX_INDENT = 64
+#: Lines of table cells are wrapped at blanks to this width, if the table has
+#: columns. Words, preformatted lines and inner tables are never cut; they widen
+#: their column up to WIDE and run over it beyond.
+WRAP, WIDE = 80, 200
+#: Cells of tables in so many others stand one below the other.
+ALIGNED_TABLES = 8
+#: The window for which a style sheet's media rules are read.
+SCREEN_WIDTH = 1280
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes template noscript textarea title".split())
-HIDDEN = set("head script style template noscript title meta link datalist iframe noembed noframes object svg math audio video canvas".split())
+HIDDEN = set("head script style template noscript title meta link datalist iframe noembed noframes object audio video canvas desc defs metadata symbol clippath mask annotation annotation-xml".split())
 MARGIN = dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl table pre figure hr fieldset menu".split(), 2) | dict.fromkeys(
     "html body div section article header footer nav main aside address li dt dd tr td th thead tbody tfoot caption form figcaption details summary "
     "legend option optgroup select textarea dialog center hgroup search".split(),
@@ -58,6 +69,12 @@ _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _BREAK = "\v"
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SELECTOR = re.compile(r"[\w-]+|[\w-]*[.#][\w-]+")
+_FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*(\d+)px\s*\)")
+#: What stands between the children of these formula elements.
+BETWEEN = {"mfrac": "/", "msup": "^", "msub": "_", "mover": "^", "munder": "_"}
+_LISTS = {"ul", "ol", "menu"}
 
 
 class Node:
@@ -68,27 +85,78 @@ class Node:
         self.children: list[Node | str] = []
 
 
+class _Open:
+    """The open elements, with the places of each name."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def close_to(self, index: int) -> None:
+        while len(self.stack) > index:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, names: set[str]) -> int:
+        """Place of the innermost of these elements, 0 if none is open."""
+        return max([self.at[x][-1] for x in names if self.at.get(x)], default=0)
+
+    def close(self, names: set[str], boundary: set[str]) -> None:
+        """Close the outermost of these elements that is inside the innermost boundary, and all in it."""
+        inside = self.last(boundary)
+        found = [self.at[x][k] for x in names if self.at.get(x) and (k := bisect_right(self.at[x], inside)) < len(self.at[x])]
+        if found:
+            self.close_to(min(found))
+
+
+def _on_screen(query: str) -> bool:
+    """Whether a media query list holds for a screen of SCREEN_WIDTH pixels."""
+
+    def holds(one: str) -> bool:
+        widths = all(int(n) <= SCREEN_WIDTH if which == "min" else int(n) >= SCREEN_WIDTH for which, n in _FEATURE.findall(one))
+        words = _FEATURE.sub(" ", one).replace("only ", " ").split()
+        return widths and all(x in ("screen", "all", "and") for x in words)
+
+    return any(holds(one) for one in query.lower().split(","))
+
+
+def hidden_selectors(css: str) -> set[str]:
+    """Simple selectors whose rules hide on a screen: names, classes, ids, and names with one of those."""
+    out: set[str] = set()
+    # of the open braces: whether rules inside apply, and the selectors of a rule
+    blocks: list[tuple[bool, str]] = []
+    at = 0
+    css = _CSS_COMMENT.sub(" ", css)
+    for m in re.finditer("[{}]", css):
+        text, at = css[at : m.start()], m.end()
+        if m.group() == "}":
+            applies, selectors = blocks.pop() if blocks else (False, "")
+            if applies and selectors and _NO_DISPLAY.search(text):
+                named = (x.strip() for x in selectors.split(","))
+                out.update(x if x[0] in ".#" else x.lower() for x in named if _SELECTOR.fullmatch(x))
+            continue
+        prelude = text.rpartition(";")[2].strip()
+        applies = not blocks or blocks[-1][0]
+        if prelude.startswith("@"):
+            name, _, rest = prelude[1:].partition(" ")
+            blocks.append((applies and (name in ("supports", "layer", "container", "scope") or name == "media" and _on_screen(rest)), ""))
+        else:
+            blocks.append((applies, prelude))
+    return out
+
+
 def parse(source: str) -> tuple[Node, set[str]]:
     """The tree of a page, and the simple selectors that its style sheets hide."""
     root = Node("html", {})
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     hidden: set[str] = set()
     at, n = 0, len(source)
     quotes = True  # until an attribute's quote turns out to be unclosed
 
-    def close_to(index: int) -> None:
-        del stack[index:]
-
-    def close(names: set[str], boundary: set[str]) -> None:
-        lowest = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                lowest = k
-            elif stack[k].tag in boundary:
-                break
-        if lowest is not None:
-            close_to(lowest)
-
     while at < n:
         m = _TAG.search(source, at)
         if m is None:
@@ -115,14 +183,12 @@ def parse(source: str) -> tuple[Node, set[str]]:
             at = rest.end()
         name = m["name"].lower()
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    close_to(k)
-                    break
-                if stack[k].tag in _SCOPE and name not in MARGIN and name not in _SCOPE:
-                    break
+            place = opened.last({name})
+            # inline elements do not end outside a table cell or the like
+            if place and (name in MARGIN or name in _SCOPE or opened.last(_SCOPE) < place):
+                opened.close_to(place)
             continue
-        if name in ("html", "body") and name == "html":
+        if name == "html":
             continue
         attrs = {}
         raw = source[m.end() : at - 1]
@@ -130,11 +196,11 @@ def parse(source: str) -> tuple[Node, set[str]]:
             for a in _ATTR.finditer(raw):
                 attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         if name in CLOSES:
-            close(*CLOSES[name])
+            opened.close(*CLOSES[name])
         if name in _ENDS_P:
-            close({"p"}, _SCOPE)
-        if name not in HIDDEN and name not in ("base", "html") and stack[-1].tag == "head":
-            close_to(len(stack) - 1)
+            opened.close({"p"}, _SCOPE)
+        if name not in HIDDEN and name != "base" and stack[-1].tag == "head":
+            opened.close_to(len(stack) - 1)
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name in RAW:
@@ -142,17 +208,13 @@ def parse(source: str) -> tuple[Node, set[str]]:
             stop = n if end is None else end.start()
             body = source[at:stop]
             if name == "style":
-                for rule in body.split("}"):
-                    selectors, brace, rules = rule.partition("{")
-                    if brace and _NO_DISPLAY.search(rules):
-                        hidden.update(s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
+                hidden |= hidden_selectors(body)
             elif name not in HIDDEN:
                 node.children.append(html.unescape(body) if name == "textarea" else body)
             close_at = source.find(">", stop)
             at = n if close_at < 0 else close_at + 1
-        elif name not in VOID and not raw.endswith("/") or (raw.endswith("/") and name in MARGIN and name not in VOID):
-            if len(stack) < MAX_DEPTH:
-                stack.append(node)
+        elif name not in VOID and (not raw.endswith("/") or name in MARGIN):
+            opened.push(node)
     return root, hidden
 
 
@@ -163,8 +225,11 @@ def visible(node: Node, hidden: set[str]) -> bool:
     if attrs:
         if "hidden" in attrs or _NO_DISPLAY.search(attrs.get("style", "")):
             return False
-        if hidden and ("#" + attrs.get("id", "") in hidden or any("." + c in hidden for c in attrs.get("class", "").split())):
-            return False
+        if hidden:
+            named = ["#" + attrs["id"]] if attrs.get("id") else []
+            named += ["." + c for c in attrs.get("class", "").split()]
+            if any(x in hidden or node.tag + x in hidden for x in named):
+                return False
     return node.tag not in hidden and not (node.tag == "dialog" and "open" not in attrs)
 
 
@@ -176,13 +241,61 @@ def _trimmed(lines: list[str]) -> list[str]:
     return lines[:n]
 
 
-class _Flow:
-    """Lines of a block; text gathers in ``inline`` until a block or the end flushes it."""
+class _Block:
+    """An open block: its margin, what stands before its first and its other lines, and the margin below its last child."""
+
+    __slots__ = ("margin", "mark", "indent", "rest", "started", "gap", "number", "tag")
+
+    def __init__(self, tag: str, margin: int, mark: str, indent: str, rest: str) -> None:
+        self.tag, self.margin, self.mark, self.indent, self.rest = tag, margin, mark, indent, rest
+        self.started, self.gap, self.number = False, 0, 1
+
+
+class _Page:
+    """Lines of a page or cell; text gathers in ``inline`` until a block or the end flushes it."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
+        self.fixed: list[bool] = []
         self.inline: list[str] = []
-        self.gap = 0
+        self.blocks = [_Block("", 0, "", "", "")]
+        self.blocks[0].started = True
+
+    def open(self, tag: str, margin: int, mark: str = "", indent: str = "") -> None:
+        self.flush()
+        outer = self.blocks[-1].rest
+        if len(outer) >= MAX_INDENT:
+            indent = ""
+        self.blocks.append(_Block(tag, margin, mark or indent, indent, outer + indent if indent else outer))
+
+    def close(self) -> None:
+        self.flush()
+        block, outer = self.blocks.pop(), self.blocks[-1]
+        outer.gap = block.margin if block.started else max(outer.gap, block.margin)
+
+    def add(self, lines: list[str], fixed: bool = False) -> None:
+        """Lines of the innermost block."""
+        if not lines:
+            return
+        k = len(self.blocks) - 1
+        while not self.blocks[k].started:
+            k -= 1
+        base = self.blocks[k]
+        new = self.blocks[k + 1 :]
+        below = max(base.gap, new[0].margin if new else 0)
+        if below > 1 and self.lines and self.lines[-1] and (k or self.lines):
+            self._put("", True)
+        first = base.rest + "".join(b.mark for b in new)
+        for b in new:
+            b.started = True
+        self.blocks[-1].gap = 0
+        rest = self.blocks[-1].rest
+        for n, line in enumerate(lines):
+            self._put((rest if n else first) + line if line or not n and first else "", fixed)
+
+    def _put(self, line: str, fixed: bool) -> None:
+        self.lines.append(line.rstrip(" ") if not line.strip(" ") else line)
+        self.fixed.append(fixed)
 
     def flush(self) -> None:
         if not self.inline:
@@ -190,157 +303,224 @@ class _Flow:
         text = _SPACES.sub(" ", "".join(self.inline))
         self.inline = []
         lines = _trimmed([x.strip(" ") for x in text.split(_BREAK)])
-        self._add([x for k, x in enumerate(lines) if x or k], 0)
-
-    def _add(self, lines: list[str], margin: int) -> None:
-        if not lines:
+        while lines and not lines[0]:
+            lines.pop(0)
+        self.add(lines)
+
+
+class _Table:
+    """Cells of a table: (row, column, columns, rows, node), filled in with their lines as they are laid out."""
+
+    def __init__(self, node: Node, hidden: set[str]) -> None:
+        self.around: list[Node | str] = []
+        self.cells: list[tuple[int, int, int, int, Node]] = []
+        self.pages: list[_Page] = []
+        self.rows = 0
+        self.taken: dict[int, int] = {}  # column: first row that is free again
+        for child in node.children:
+            if isinstance(child, Node) and child.tag in ("thead", "tbody", "tfoot"):
+                if visible(child, hidden):
+                    for inner in child.children:
+                        self._place(inner, hidden)
+            else:
+                self._place(child, hidden)
+
+    def _place(self, child: Node | str, hidden: set[str]) -> None:
+        if isinstance(child, str):
+            if child.strip():
+                self.around.append(child)
+        elif not visible(child, hidden) or child.tag in ("colgroup", "col"):
             return
-        if self.lines and max(self.gap, margin) > 1 and self.lines[-1]:
-            self.lines.append("")
-        self.lines += lines
-        self.gap = margin
-
-    def block(self, lines: list[str], margin: int) -> None:
-        self.flush()
-        if lines:
-            self._add(lines, margin)
+        elif child.tag == "tr":
+            self._row(child.children, hidden)
+        elif child.tag in ("td", "th"):  # the row's tag is implied
+            self._row([child], hidden)
         else:
-            self.gap = max(self.gap, margin)
+            self.around.append(child)
 
+    def _row(self, children: list[Node | str], hidden: set[str]) -> None:
+        column = 0
+        row = self.rows
+        for cell in children:
+            if isinstance(cell, str):
+                if cell.strip():
+                    self.around.append(cell)
+            elif visible(cell, hidden):
+                if cell.tag not in ("td", "th"):
+                    self.around.append(cell)
+                    continue
+                while self.taken.get(column, 0) > row:
+                    column += 1
+                # the bounds are the standard's own
+                wide = min(max(_number(cell.attrs.get("colspan"), 1), 1), 1000)
+                tall = min(_number(cell.attrs.get("rowspan"), 1), 65534) or 65534
+                self.cells.append((row, column, wide, tall, cell))
+                if tall > 1:
+                    self.taken.update(dict.fromkeys(range(column, column + wide), row + tall))
+                column += wide
+        self.rows += 1
+
+    def lines(self) -> list[str]:
+        starts = sorted({c[1] for c in self.cells})
+        if len(starts) < 2:
+            return [line for page in self.pages for line in page.lines]
+        # columns in which some cell starts; a cell spans those up to the next start behind it
+        spans = [(bisect_left(starts, c), bisect_left(starts, c + wide)) for _, c, wide, _, _ in self.cells]
+        texts = [_wrapped(page) for page in self.pages]
+        widths = [0] * len(starts)
+        sizes = [max([len(x) for x in text if len(x) <= WIDE], default=0) for text in texts]
+        for (a, b), size in sorted(zip(spans, sizes), key=lambda x: x[0][1] - x[0][0]):
+            has = sum(widths[a:b]) + 2 * sum(1 for w in widths[a : b - 1] if w)
+            if size > has:
+                widths[b - 1] += size - has
+        left = [0]
+        for w in widths:
+            left.append(left[-1] + (w + 2 if w else 0))
+        out: list[str] = []
+        flowing: list[tuple[int, list[str], int]] = []  # column, lines to come, last row
+        k = 0
+        for row in range(self.rows):
+            while k < len(self.cells) and self.cells[k][0] == row:
+                if texts[k]:
+                    flowing.append((left[spans[k][0]], texts[k], min(row + self.cells[k][3], self.rows) - 1))
+                k += 1
+            height = max([len(text) for _, text, last in flowing if last == row], default=0)
+            if not height and any(last > row for _, _, last in flowing):
+                height = 1
+            flowing.sort(key=lambda x: x[0])
+            for n in range(height):
+                line = ""
+                for x, text, _ in flowing:
+                    if n < len(text) and text[n]:
+                        line = (line.ljust(x) if len(line) <= x - 2 or not line else line + "  ") + text[n]
+                out.append(line.rstrip(" "))
+            flowing = [(x, text[height:], last) for x, text, last in flowing if last > row and text[height:]]
+        return out
+
+
+def _number(value: str | None, default: int) -> int:
+    return int(value) if value and re.fullmatch(r"\d{1,9}", value) else default
+
+
+def _wrapped(page: _Page) -> list[str]:
+    """The lines of a cell, those of running text wrapped."""
+    out = []
+    for line, fixed in zip(page.lines, page.fixed):
+        indent = " " * min(len(line) - len(line.lstrip(" ")), WRAP // 2)
+        while not fixed and len(line) > WRAP:
+            cut = line.rfind(" ", len(indent) + 1, WRAP + 1)
+            cut = cut if cut > 0 else line.find(" ", WRAP)
+            if cut < 0:
+                break
+            out.append(line[:cut].rstrip(" "))
+            line = indent + line[cut + 1 :].lstrip(" ")
+        out.append(line)
+    return out
+
+
+def _preformatted(node: Node, hidden: set[str]) -> list[str]:
+    parts: list[str] = []
+    todo: list[Node | str] = list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x.tag == "br":
+            parts.append("\n")
+        elif visible(x, hidden):
+            todo += reversed(x.children)
+    return _trimmed([x.rstrip() for x in "".join(parts).removeprefix("\n").split("\n")])
 
-def _walk(node: Node, flow: _Flow, hidden: set[str]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            flow.inline.append(child.replace(_BREAK, " "))
+
+def render(source: str | None) -> str | None:
+    """The visible text of a page, laid out; None for None."""
+    if source is None:
+        return None
+    root, hidden = parse(source)
+    pages, tables = [_Page()], []
+    # what is to come: text and elements, each with whether it is drawn only inside text (svg), and ends of blocks, cells and tables
+    todo: list[tuple[object, bool]] = [(x, False) for x in reversed(root.children)]
+    while todo:
+        x, drawn = todo.pop()
+        page = pages[-1]
+        if isinstance(x, str):
+            if not drawn:
+                page.inline.append(x.replace(_BREAK, " "))
+            continue
+        if x is _END_BLOCK:
+            page.close()
+            continue
+        if x is _END_CELL:
+            page.flush()
+            tables[-1].pages.append(pages.pop())
+            continue
+        if x is _END_TABLE:
+            table = tables.pop()
+            page.add(table.lines(), fixed=True)
+            page.close()
             continue
-        tag = child.tag
+        if isinstance(x, _Cell):
+            pages.append(_Page())
+            todo.append((_END_CELL, False))
+            todo += [(c, False) for c in reversed(x.node.children)]
+            continue
+        tag = x.tag
         if tag == "br":
-            flow.inline.append(_BREAK)
-        elif tag == "wbr" or not visible(child, hidden):
+            page.inline.append(_BREAK)
+        elif tag == "wbr" or not visible(x, hidden):
             continue
-        elif tag in MARGIN:
-            flow.block(_lines(child, hidden), MARGIN[tag])
+        elif tag == "pre":
+            page.open(tag, 2)
+            page.add(_preformatted(x, hidden), fixed=True)
+            page.close()
+        elif tag == "table" and len(tables) < ALIGNED_TABLES:
+            page.open(tag, 2)
+            table = _Table(x, hidden)
+            tables.append(table)
+            todo.append((_END_TABLE, False))
+            todo += [(_Cell(c[4]), False) for c in reversed(table.cells)]
+            if table.around:
+                page.open("div", 1)
+                todo.append((_END_BLOCK, False))
+                todo += [(c, False) for c in reversed(table.around)]
+        elif tag in MARGIN or drawn and tag in ("text", "foreignobject"):
+            mark = indent = ""
+            if tag == "li" and page.blocks[-1].tag in _LISTS:
+                outer = page.blocks[-1]
+                mark = f"{outer.number}. " if outer.tag == "ol" else "- "
+                outer.number += 1
+                indent = " " * len(mark)
+            elif tag in ("blockquote", "dd"):
+                indent = "  "
+            page.open(tag, MARGIN.get(tag, 1), mark, indent)
+            if tag == "ol":
+                start = x.attrs.get("start", "1")
+                page.blocks[-1].number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+            todo.append((_END_BLOCK, False))
+            todo += [(c, False) for c in reversed(x.children)]
         elif tag == "input":
-            if child.attrs.get("type", "").lower() in ("submit", "button", "reset"):
-                flow.inline.append(html.unescape(child.attrs.get("value", "")))
-        else:
-            _walk(child, flow, hidden)
-
-
-def _lines(node: Node, hidden: set[str]) -> list[str]:
-    if node.tag == "pre":
-        text = _text(node, hidden)
-        return _trimmed([x.rstrip() for x in text.removeprefix("\n").split("\n")])
-    if node.tag in ("ul", "ol", "menu"):
-        return _list(node, hidden)
-    if node.tag == "table":
-        return _table(node, hidden)
-    flow = _Flow()
-    _walk(node, flow, hidden)
-    flow.flush()
-    if node.tag in ("blockquote", "dd"):
-        return ["  " + x if x else x for x in flow.lines]
-    return flow.lines
-
-
-def _text(node: Node, hidden: set[str]) -> str:
-    return "".join(
-        c if isinstance(c, str) else "\n" if c.tag == "br" else _text(c, hidden) if visible(c, hidden) else "" for c in node.children
-    )
-
-
-def _list(node: Node, hidden: set[str]) -> list[str]:
-    flow = _Flow()
-    start = node.attrs.get("start", "1")
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    loose = Node("div", {})
-
-    def spill() -> None:
-        if loose.children:
-            flow.block(_lines(loose, hidden), 1)
-            loose.children.clear()
-
-    for child in node.children:
-        if isinstance(child, Node) and child.tag == "li":
-            spill()
-            if not visible(child, hidden):
-                continue
-            mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
-            lines = _lines(child, hidden)
-            if lines:
-                flow.block([mark + lines[0]] + [" " * len(mark) + x if x else x for x in lines[1:]], 1)
+            if x.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                page.inline.append(html.unescape(x.attrs.get("value", "")))
+        elif tag in BETWEEN:
+            parts = [c for c in x.children if isinstance(c, Node)]
+            for k in range(len(parts) - 1, -1, -1):
+                todo.append((parts[k], drawn))
+                if k:
+                    todo.append((BETWEEN[tag], drawn))
         else:
-            loose.children.append(child)
-    spill()
-    flow.flush()
-    return flow.lines
+            todo += [(c, drawn or tag == "svg") for c in reversed(x.children)]
+    pages[0].flush()
+    return "\n".join(pages[0].lines)
 
 
-def _table(node: Node, hidden: set[str]) -> list[str]:
-    rows: list[list[str]] = []
-    around = Node("div", {})
+class _Cell:
+    __slots__ = ("node",)
 
-    def cells(row: Node) -> None:
-        out = []
-        for cell in row.children:
-            if isinstance(cell, str):
-                if cell.strip():
-                    around.children.append(cell)
-            elif visible(cell, hidden):
-                if cell.tag in ("td", "th"):
-                    out.append(" ".join(x.strip() for x in _lines(cell, hidden) if x))
-                    span = cell.attrs.get("colspan", "1")
-                    out += [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"\d{1,9}", span) else 0)
-                else:
-                    around.children.append(cell)
-        if any(out):
-            rows.append(out)
-
-    def gather(part: Node) -> None:
-        for child in part.children:
-            if isinstance(child, str):
-                if child.strip():
-                    around.children.append(child)
-            elif not visible(child, hidden):
-                continue
-            elif child.tag == "tr":
-                cells(child)
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                gather(child)
-            elif child.tag in ("td", "th"):  # the row's tag is implied
-                row = Node("tr", {})
-                row.children.append(child)
-                cells(row)
-            elif child.tag not in ("colgroup", "col"):
-                around.children.append(child)
-
-    gather(node)
-    widths: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            if k == len(widths):
-                widths.append(0)
-            if len(cell) <= MAX_CELL:
-                widths[k] = max(widths[k], len(cell))
-    lines = _lines(around, hidden) if around.children else []
-    for row in rows:
-        lines.append("  ".join(cell.ljust(widths[k]) for k, cell in enumerate(row)).rstrip())
-    return lines
+    def __init__(self, node: Node) -> None:
+        self.node = node
 
 
-def render(source: str | None) -> str | None:
-    """The visible text of a page, laid out; None for None."""
-    if source is None:
-        return None
-    root, hidden = parse(source)
-    flow = _Flow()
-    _walk(root, flow, hidden)
-    flow.flush()
-    lines = flow.lines
-    while lines and not lines[0]:
-        lines.pop(0)
-    return "\n".join(lines)
+_END_BLOCK, _END_CELL, _END_TABLE = object(), object(), object()
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,8 +534,12 @@ def rendered(pages: DataFrame) -> DataFrame:
 
     Null html gives null text, empty html and pages without visible text give
     an empty one. A null page_id stays null; repeated rows give repeated results;
-    markup may be broken in any way and of any length. Extra columns are ignored.
-    An empty table gives no rows.
+    markup may be broken in any way, nested to any depth and of any length. All
+    visible text is kept; only its placing has bounds: indentation ends at
+    MAX_INDENT, columns are aligned up to WIDE, tables nested in ALIGNED_TABLES
+    others are laid out as one column, and spans are at most 1,000 columns and
+    65,534 rows, as the HTML standard has it. Extra columns are ignored. An empty
+    table gives no rows.
     """
     rows = pick(pages, "page_id", "html").select(F.col("page_id").cast("long"), "html")
     return rows.mapInArrow(_render, "page_id long, text string")
