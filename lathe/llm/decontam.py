@@ -1,15 +1,19 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Every run of three words of a test item is a seed and is looked up in every
-document. Where a document holds one and the words around it hold enough of the
-item's words for a match at all, they are aligned with the whole item. The score
-is the alignment's share of a full match, so edited and paraphrased copies score
-in proportion to what survived. How many documents hold a run does not count:
-copies make the runs of an item common.
-
-Shape at scale: one scan of the documents and no shuffle of texts. What each
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+The runs of three words of the test items are counted over all documents. A run
+that few documents hold is rare, and a seed on its own; a common one is a seed
+only together with another run of its item that stands about as far from it as
+in the item. So a common phrase by itself costs no alignment, and copies of an
+item, which make its runs common, are still met: they hold several of them.
+Where a document holds a seed, and the words around it hold enough of the item's
+words for a match at all, they are aligned with the whole item. The score is the
+alignment's share of a full match, so edited and paraphrased copies score in
+proportion to what survived.
+
+Shape at scale: two scans of the documents and no shuffle of texts. What each
 task needs of the benchmark travels with the task only up to MAX_SEEDS runs of
-words; a larger benchmark is worked off in blocks of that size, one scan each.
+words, and so many counts come back; a larger benchmark is worked off in blocks
+of that size, two scans each.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from lathe.llm.kernels import Words, text_slices
 
 #: Words in a seed. Items with fewer words are no evidence and match nothing.
 GRAM = 3
+#: A run is rare if at most this share of the documents hold it, or so few of them.
+RARE_SHARE, RARE_DOCUMENTS = 0.001, 100
 #: Runs of words that travel with a task at once (16 bytes each).
 MAX_SEEDS = 1 << 20
 #: Share of a full match from which a document counts as contaminated.
@@ -83,6 +89,33 @@ def blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _counter(hashes: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(h, documents) of the runs that occur, and the number of all documents under a null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(hashes)
+        seen, rows = np.zeros(len(index.hashes), np.int64), 0
+        for batch in batches:
+            rows += len(batch)
+            for start, stop in text_slices(batch.column("text")):
+                words = Words(batch.column("text").slice(start, stop - start))
+                at, h = words.grams(GRAM)
+                place, which = index.find(h)
+                pair = np.unique(words.row[at[place]] * len(index.hashes) + which)
+                seen += np.bincount(pair % max(1, len(index.hashes)), minlength=len(index.hashes))
+        some = np.flatnonzero(seen)
+        found = pa.concat_arrays([pa.array(index.hashes[some].view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.record_batch([found, pa.array(np.append(seen[some], rows))], names=["h", "documents"])
+
+    return run
+
+
+def with_rarity(grams: pd.DataFrame, counts: dict[int | None, int]) -> pd.DataFrame:
+    """The runs of the items with ``rare``; counts holds documents by run, and all documents under None."""
+    most = max(RARE_DOCUMENTS, RARE_SHARE * counts.get(None, 0))
+    return grams.assign(rare=[counts.get(h, 0) <= most for h in grams["h"].to_numpy(np.uint64).view(np.int64).tolist()])
+
+
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Arrays of words as rows of one table, and where it is filled."""
     out = np.zeros((len(parts), max(map(len, parts))), np.uint64)
@@ -129,6 +162,7 @@ def _aligner(items: list[tuple[int, str]], seeds: pd.DataFrame) -> Callable[[Ite
     seed_h = seeds["h"].to_numpy(np.uint64)
     seed_item = seeds["item"].to_numpy(np.int64)
     seed_at = seeds["at"].to_numpy(np.int64)
+    seed_rare = seeds["rare"].to_numpy(bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(seed_h)
@@ -149,6 +183,9 @@ def _aligner(items: list[tuple[int, str]], seeds: pd.DataFrame) -> Callable[[Ite
                 places, whiches = index.find(h)
                 running = np.cumsum(hi[whiches] - lo[whiches])
                 cuts = np.unique(np.searchsorted(running, np.arange(PLACES, running[-1] + 1, PLACES), side="right")) if len(places) else []
+                # a text's places stay together
+                owner = words.row[at[places]]
+                cuts = np.unique(np.searchsorted(owner, owner[cuts[cuts < len(owner)]])) if len(places) else []
                 for place, which in zip(np.split(places, cuts), np.split(whiches, cuts)):
                     if not len(place):
                         continue
@@ -161,6 +198,8 @@ def _aligner(items: list[tuple[int, str]], seeds: pd.DataFrame) -> Callable[[Ite
                     begin = word - seed_at[seed] - slack[item]
                     by = np.lexsort((begin, item, row))
                     row, item, begin = row[by], item[by], begin[by]
+                    keep = _supported(row, item, begin, seed_at[seed][by], seed_rare[seed][by], slack)
+                    row, item, begin = row[keep], item[keep], begin[keep]
                     keep = _spread(row, item, begin, slack)
                     row, item, begin = row[keep], item[keep], begin[keep]
                     end = np.minimum(begin + length[item] + 2 * slack[item], words.first[row + 1])
@@ -187,6 +226,17 @@ def _aligner(items: list[tuple[int, str]], seeds: pd.DataFrame) -> Callable[[Ite
     return run
 
 
+def _supported(row: np.ndarray, item: np.ndarray, begin: np.ndarray, at: np.ndarray, rare: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Of the sorted hits those that are rare or near another one: whose neighbours, each within a slack of the next, hold a rare or a second run."""
+    if not len(row):
+        return np.zeros(0, bool)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > slack[item[1:]])
+    first = np.flatnonzero(new)
+    ok = np.logical_or.reduceat(rare, first) | (np.maximum.reduceat(at, first) > np.minimum.reduceat(at, first))
+    return ok[np.cumsum(new) - 1]
+
+
 def _spread(row: np.ndarray, item: np.ndarray, begin: np.ndarray, slack: np.ndarray) -> np.ndarray:
     """Of the sorted windows of one document and item, those that start half a slack after the last one kept."""
     keep = np.ones(len(row), bool)
@@ -204,7 +254,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text")
     found = []
     for block in blocks([(r.item_id, r.text) for r in items.toLocalIterator()]):
-        found.append(rows.mapInArrow(_aligner(block, item_grams(block)), "id long, tk long, item_id long, score double, end_word long"))
+        grams = item_grams(block)
+        counted = rows.select("text").mapInArrow(_counter(grams["h"].to_numpy(np.uint64)), "h long, documents long").groupBy("h").agg(F.sum("documents").alias("n"))
+        seeds = with_rarity(grams, {r.h: r.n for r in counted.collect()})
+        found.append(rows.mapInArrow(_aligner(block, seeds), "id long, tk long, item_id long, score double, end_word long"))
     empty = rows.sparkSession.createDataFrame([], "id long, tk long, item_id long, score double, end_word long")
     best = reduce(DataFrame.unionByName, found, empty).groupBy("id", "tk", "item_id")
     return best.agg(F.max("score").alias("score"), F.max_by("end_word", F.struct("score", -F.col("end_word"))).alias("end_word"))
@@ -219,8 +272,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts hold nothing. A null doc_id stays null; repeated rows
     are reported once; documents of one id and different texts each. Items with
     null id or text, or fewer than GRAM words, match nothing; repeated items
-    count once, items of one id and different texts together. Texts are read
-    whole. Extra columns are ignored. An empty table on either side gives no rows.
+    count once, items of one id and different texts together. Of alignments of
+    one score the first to end is reported. Texts are read whole. A copy whose
+    only surviving run is a common one is not found. Extra columns are ignored. An empty table on either side gives no rows.
     """
     return matches(docs, benchmark).select(F.col("id").alias("doc_id"), "item_id", F.round("score", 6).alias("score"), "end_word")
 

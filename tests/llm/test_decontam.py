@@ -92,21 +92,51 @@ def test_group_of_edited_copies_beside_one_exact_copy(spark):
     item = [f"term{k}" for k in range(30)]
     edited = [f"other{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
     rows = [(0, " ".join(item))]
-    rows += [(n, " ".join([f"before{n}x{k}" for k in range(50)] + edited + [f"after{n}x{k}" for k in range(50)])) for n in range(1, 41)]
+    copies = decontam.RARE_DOCUMENTS + 50
+    rows += [(n, " ".join([f"before{n}x{k}" for k in range(50)] + edited + [f"after{n}x{k}" for k in range(50)])) for n in range(1, copies)]
     # a run of the item alone is no copy
-    rows += [(n, f"lead{n} term0 term1 term2 and nothing else of it") for n in range(41, 60)]
+    rows += [(n, f"lead{n} term0 term1 term2 and nothing else of it") for n in range(copies, copies + 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
-    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == set(range(41))
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == set(range(copies))
 
 
 def test_places_in_parts(spark, tiny, monkeypatch):
     docs, bench = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
     whole = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     monkeypatch.setattr(decontam, "PLACES", 5)
-    aligner = decontam._aligner([(r.item_id, r.text) for r in bench.collect()], decontam.item_grams([(r.item_id, r.text) for r in bench.collect()]))
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    aligner = decontam._aligner(items, decontam.with_rarity(decontam.item_grams(items), {}))
     import pyarrow as pa
 
     rows = docs.collect()
     batch = pa.record_batch([pa.array([r.doc_id for r in rows]), pa.array([0] * len(rows)), pa.array([r.text for r in rows])], names=["id", "tk", "text"])
     assert {(a, b) for out in aligner(iter([batch])) for a, b in zip(out["id"].to_pylist(), out["item_id"].to_pylist())} == whole
+
+
+def test_common_runs_need_a_second_one():
+    """Chains of hits within a slack: a rare hit, or two runs of the item, or nothing."""
+    slack = np.array([8, 8])
+    hits = [  # row, item, begin, at, rare
+        (0, 0, 5, 1, False), (0, 0, 9, 1, False),  # one run twice
+        (0, 0, 40, 1, False), (0, 0, 44, 2, False),  # two runs
+        (0, 1, 44, 3, False),  # of another item
+        (1, 1, 44, 3, True), (1, 1, 50, 3, False),  # beside a rare one
+        (1, 1, 90, 4, False),
+    ]
+    got = decontam._supported(*(np.array(x) for x in zip(*hits)), slack)
+    assert got.tolist() == [False, False, True, True, False, True, True, False]
+
+
+def test_rarity_is_a_share_of_the_documents():
+    grams = decontam.item_grams([(1, "a b c d"), (2, "b c d e")])
+    h = grams["h"].to_numpy(np.uint64).view(np.int64).tolist()
+    few = decontam.with_rarity(grams, {None: 1000, h[0]: 100, h[1]: 101})
+    many = decontam.with_rarity(grams, {None: 10**6, h[0]: 1000, h[1]: 1001})
+    assert few["rare"].tolist() == many["rare"].tolist() == [True, False, False, True]
+
+
+def test_of_equal_alignments_the_first_counts(spark):
+    item = " ".join(f"word{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"x y z {item} " + "fill " * 60 + item)], "doc_id long, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()] == [(1, 5, 1.0, 15)]
