@@ -14,6 +14,7 @@ the exchange) and shuffled once.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,12 @@ from lathe.llm.common import numbered, position, sortable_id, stored
 SHARD_BYTES = 64 << 20
 #: A splitter may miss its place by this share of a shard.
 TOLERANCE = 0.01
-#: New candidates per unfinished splitter and round.
-PROBES = 32
+#: New candidates per unfinished splitter and round; fewer where all together
+#: would be more than MAX_PROBES, which bounds what the driver and a task hold.
+PROBES, MAX_PROBES = 32, 1 << 18
+#: A table that would need more shards gets so many larger ones: they are the
+#: partitions of one exchange.
+MAX_SHARDS = 1 << 16
 
 
 def sort_key(source: Column, doc_id: Column) -> Column:
@@ -42,17 +47,34 @@ def sort_key(source: Column, doc_id: Column) -> Column:
     return F.concat(whole, F.lit(b"\0\0"), F.unhex(F.lpad(F.hex(number), 16, "0")))
 
 
-def _interval(bounds: list[bytes]):
+def _interval(bounds: list[bytes]) -> Callable[[str | Column], Column]:
     """How many of the sorted boundaries are at or below a key."""
 
     @F.pandas_udf("int")
     def interval(key: pd.Series) -> pd.Series:
-        # numpy's byte strings would pad every key to the longest
-        return pd.Series([bisect_right(bounds, k) for k in key], dtype="int32")
+        # as objects: numpy's byte strings would pad every key to the longest
+        edges = np.array([*bounds, None], dtype=object)[:-1]
+        return pd.Series(np.searchsorted(edges, key.to_numpy(object), side="right").astype(np.int32))
 
     return interval
 
 
+def _inside(bounds: list[bytes]) -> Callable[[str | Column], Column]:
+    """The same, but null for a key that is a boundary itself."""
+
+    @F.pandas_udf("int")
+    def inside(key: pd.Series) -> pd.Series:
+        edges = np.array([*bounds, None], dtype=object)[:-1]
+        keys = key.to_numpy(object)
+        at = np.searchsorted(edges, keys, side="right")
+        same = np.zeros(len(keys), bool)
+        if len(edges):
+            same = (at > 0) & (edges[np.maximum(at, 1) - 1] == keys)
+        return pd.Series(np.where(same, None, at)).astype("Int32")
+
+    return inside
+
+
 @dataclass
 class _Splitter:
     target: float
@@ -69,30 +91,29 @@ class _Splitter:
 
 
 def splitters(keys: DataFrame, shard_bytes: int, tolerance: float = TOLERANCE) -> list[bytes]:
-    """Boundaries that cut the keys (key, bytes) into shards of about ``shard_bytes``.
+    """Boundaries that cut the keys (key, bytes) into shards of about ``shard_bytes``, or MAX_SHARDS larger ones.
 
     A boundary is within the tolerance of its place, or the nearest there is
     when a single key is heavier than that.
     """
     whole = keys.agg(F.sum("bytes")).first()[0] or 0
-    n = max(1, -(-int(whole) // shard_bytes))
+    n = min(MAX_SHARDS, max(1, -(-int(whole) // shard_bytes)))
     slack = tolerance * whole / n
     todo = [_Splitter(whole * k / n, b"", 0, None, int(whole)) for k in range(1, n)]
     everything = list(todo)
     while todo:
-        lows = sorted({s.low for s in todo})
-        # candidates: for each open stretch, keys of PROBES random slots
+        # candidates: for each open stretch, keys of some random slots
         stretch = {(s.low, s.high) for s in todo}
         edges = sorted({e for pair in stretch for e in pair if e})
-        slots = (
-            keys.withColumn("part", _interval(edges)("key") if edges else F.lit(0))
-            .groupBy("part", F.pmod(F.xxhash64("key"), F.lit(PROBES)).alias("slot"))
+        each = max(2, min(PROBES, MAX_PROBES // len(stretch)))
+        opened = {bisect_right(edges, low) for low, _ in stretch}
+        drawn = (
+            keys.withColumn("part", _inside(edges)("key"))
+            .where("part is not null")
+            .groupBy("part", F.pmod(F.xxhash64("key"), F.lit(each)).alias("slot"))
+            .agg(F.min_by("key", F.xxhash64("key", F.lit(7))).alias("key"))
         )
-        opened = sorted({bisect_right(edges, low) for low in lows})
-        edge_keys = F.array(*[F.lit(e) for e in edges]) if edges else F.array(F.lit(b"")).cast("array<binary>")
-        fresh = F.when(~F.array_contains(edge_keys, F.col("key")), F.col("key"))
-        drawn = slots.agg(F.min_by(fresh, F.when(fresh.isNotNull(), F.xxhash64("key", F.lit(7)))).alias("key")).where(F.col("part").isin(opened))
-        probes = sorted({bytes(r.key) for r in drawn.where("key is not null").collect()} | set(edges))
+        probes = sorted({bytes(r.key) for r in drawn.collect() if r.part in opened} | set(edges))
         if not probes:
             for s in todo:
                 s.done = s.closest()
@@ -121,10 +142,12 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents with all their columns and ``shard``, one partition per shard, sorted by (source, doc_id) throughout.
 
     Shards hold about ``shard_bytes`` bytes of text, exactly counted, to within
-    TOLERANCE; rows of one key are never parted, so a key heavier than that
+    TOLERANCE (more in a table of over MAX_SHARDS times that, which gets MAX_SHARDS
+    equal ones); rows of one key are never parted, so a key heavier than that
     makes its shard heavier. Shard k's keys are all below shard k + 1's.
 
-    A null source sorts like an empty one, a null doc_id after all others. Null
+    A null source sorts like an empty one, rows of both in order of doc_id; a
+    null doc_id sorts after all others. Null
     and empty texts weigh nothing and are kept, as are repeated rows. Sources
     count whole, by their bytes. Ties are in any order.
     An extra column named shard is replaced. An empty table gives no rows.

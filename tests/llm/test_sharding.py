@@ -60,3 +60,26 @@ def test_sources_with_a_long_common_start(spark):
     placed.sort(key=lambda r: (r.shard, r["at"]))
     order = [((r.source or "").encode(), r.doc_id) for r in placed]
     assert order == sorted(order) and {r.shard for r in placed} == set(range(10)) and all(r.shard == r.p for r in placed)
+
+
+def test_null_and_empty_sources_are_one(spark):
+    """Shards in order are one list sorted by (source or '', doc_id), with nulls beside empty sources."""
+    rows = [(k * 7919 % 500, "y" * 50, (None, "", "a")[k % 3]) for k in range(500)]
+    got = sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 2_500)
+    placed = got.select("*", F.monotonically_increasing_id().alias("at")).collect()
+    placed.sort(key=lambda r: (r.shard, r["at"]))
+    assert [(r.source or "", r.doc_id) for r in placed] == sorted((s or "", i) for i, _, s in rows)
+    assert {r.shard for r in placed} == set(range(10))
+
+
+def test_bounds_on_shards_and_probes(spark, monkeypatch):
+    """With fewer probes it takes more rounds; a table too large for MAX_SHARDS gets that many equal shards."""
+    rows = [(f"{k * 7919 % 1000:04d}".encode(), k % 13 + 1) for k in range(1000)]
+    keys = spark.createDataFrame(rows, "key binary, bytes long").cache()
+    whole = sum(b for _, b in rows)
+    monkeypatch.setattr(sharding, "MAX_PROBES", 4)
+    monkeypatch.setattr(sharding, "MAX_SHARDS", 6)
+    found = sharding.splitters(keys, 100)
+    assert len(found) == 5
+    for k, s in enumerate(found):
+        assert abs(sum(b for key, b in rows if key < s) - whole * (k + 1) / 6) <= max(sharding.TOLERANCE * whole / 6, 13)
