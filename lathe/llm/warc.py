@@ -102,10 +102,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     empty archives give no rows; against an empty replica all is missing.
     """
     mine, theirs = tree(primary), tree(replica)
-    bad = _differ(mine[-1], theirs[-1], ["file", "range"]).select("file", F.col("range").alias("parent"))
+    def differing(*levels: DataFrame) -> DataFrame:
+        # small, and read on both sides of the level below
+        return stored(_differ(*levels, ["file", "range"]).select("file", F.col("range").alias("parent")), "differing")
+
+    bad = differing(mine[-1], theirs[-1])
     for k in range(LEVELS - 2, -1, -1):
         sides = [level[k].withColumn("parent", F.shiftright("range", FANOUT_BITS)).join(bad, ["file", "parent"], "left_semi").drop("parent") for level in (mine, theirs)]
-        bad = _differ(*sides, ["file", "range"]).select("file", F.col("range").alias("parent"))
+        bad = differing(*sides)
     found = [
         side.withColumn("parent", F.shiftright("offset", RANGE_BITS)).join(bad, ["file", "parent"], "left_semi").drop("parent")
         for side in (primary, replica.withColumnRenamed("page_id", "their_id"))
