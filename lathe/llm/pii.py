@@ -1,10 +1,12 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
-Broad patterns propose spans. Labelers of three sorts vote on each: strict
+Broad patterns propose spans, and inside each every strict pattern proposes its
+own matches, overlapping ones too. Labelers of three sorts vote on each: strict
 regular expressions and checksums, gazetteers, and context words. The votes of
 all spans are counted by pattern; expectation maximisation over the counts
 estimates each labeler's reliability and each kind's prior. The posteriors then
-train a logistic span classifier on votes and shape, and it accepts spans.
+train a logistic span classifier on votes and shape, and it accepts spans; of
+accepted spans that overlap the longest of strict form stays.
 
 Shape at scale: one scan proposes spans into a small stored table; EM and
 training see only counts of distinct patterns, whose number is bounded by the
@@ -20,6 +22,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +32,22 @@ from lathe.llm.kernels import text_slices, utf8
 
 KINDS = ("email", "phone", "ip", "card", "ssn", "secret")
 LABELERS = ("strict", "structure", "gazetteer", "context", "decoy", "border")
+#: Labelers whose votes against are failed checks.
+CHECKS = ("strict", "structure", "gazetteer", "decoy")
 #: Characters on either side of a span in which context words count.
 CONTEXT = 48
 #: Probability from which the span classifier accepts.
 THRESHOLD = 0.5
 EM_ROUNDS = 100
-#: Most that these labelers may be believed to vote against true spans: a failed
-#: checksum is evidence by its nature, which few examples must not talk away.
-AGAINST = {"strict": 0.02, "structure": 0.01, "decoy": 0.01, "gazetteer": 0.05}
+RIDGE = 1e-4
+#: Spans' worth of belief, before any is seen, in what a vote means (see
+#: ``estimate``): a share of all spans, and no fewer than LEAST_BELIEF.
+BELIEF, LEAST_BELIEF = 0.05, 200.0
 
 _EMAIL = r"[^\s@<>\"'(),;:\[\]]{1,128}@[^\s@<>\"'(),;:\[\]]{1,255}"
 _IP = r"(?<![\w.])\d{1,4}(?:\.\d{1,4}){3}(?![\w])"
-_NUMBER = r"(?<![\w.])(?:\+|\((?=\d{2,4}\)))?\d(?:[ .()/-]{0,2}\d){6,18}(?![\w])"
-_SECRET = r"(?<![\w/+])[A-Za-z0-9_+/-]{16,512}={0,2}(?![\w])"
+_NUMBER = r"(?<![\w.])(?:\+|\((?=\d{2,4}\)))?\d(?:[ .()/-]{0,2}\d){6,}(?![\w])"
+_SECRET = r"(?<![\w/+])[A-Za-z0-9_+/-]{16,}={0,2}(?![\w])"
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _CANDIDATE = re.compile(f"(?P<email>{_EMAIL})|(?P<ip>{_IP})|(?P<number>{_NUMBER})|(?P<secret>{_SECRET})")
 
@@ -49,9 +55,19 @@ _STRICT = {
     "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
-    "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}"),
+    "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}"),
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}"),
-    "secret": re.compile(r"AKIA[A-Z0-9]{16}|[0-9a-f]{18,128}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/-]{20,512}={0,2}"),
+    "secret": re.compile(r"AKIA[A-Z0-9]{16}|[0-9a-f]{18,}|(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9_+/-]{20,}={0,2}"),
+}
+# inside a broad match: overlapping matches, one from each place where one may begin
+_INNER = {
+    "email": {"email": re.compile(rf"(?<![A-Za-z0-9._%+-])(?=({_STRICT['email'].pattern})(?![A-Za-z0-9]))")},
+    "number": {
+        "card": re.compile(r"(?<!\d)(?=((?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?!\d)))"),
+        "phone": re.compile(rf"(?<![\d+])(?=({_STRICT['phone'].pattern})(?!\d))"),
+        "ssn": re.compile(r"(?<![\d-])(?=(\d{3}-\d{2}-\d{4})(?![\d-]))"),
+        "ip": re.compile(rf"(?<![\w.])(?=({_STRICT['ip'].pattern})(?![\w.]*\d))"),
+    },
 }
 TOP_DOMAINS = set("com org net edu gov mil int info biz io dev app example test de fr es it uk nl eu ch at be se no dk pl pt ru cn jp in br us ca au".split())
 CREDENTIAL_WORDS = set("token password passwd pwd secret key apikey api_key access_key bearer auth authorization credential credentials".split())
@@ -78,11 +94,13 @@ def _entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of spans that look like personal data or secrets in the widest sense."""
+def candidates(text: str) -> Iterator[list[tuple[int, int, str]]]:
+    """Groups of (start, end, kind) that look like personal data or secrets in the widest sense; spans overlap only within a group."""
     for m in _CANDIDATE.finditer(text):
-        kind, start, end = m.lastgroup, m.start(), m.end()
-        if kind == "email":
+        broad, start, end = m.lastgroup, m.start(), m.end()
+        kind, value = broad, m.group()
+        group: dict[tuple[int, int, str], None] = {}
+        if broad == "email":
             # punctuation and decoration around an address are none of it
             while end > start and not text[end - 1].isalnum():
                 end -= 1
@@ -90,14 +108,16 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
                 start += 1
             if "@" not in text[start:end]:
                 continue
-        elif kind == "number":
-            digits = sum(c.isdigit() for c in m.group())
-            kind = "ssn" if _SSN.fullmatch(m.group()) else "card" if 13 <= digits <= 19 else "phone"
-        elif kind == "secret":
-            value = m.group()
-            if not value.startswith("AKIA") and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-        yield start, end, kind
+        elif broad == "number":
+            digits = sum(c.isdigit() for c in value)
+            kind = "ssn" if _SSN.fullmatch(value) else "card" if 13 <= digits <= 19 else "phone"
+        elif broad == "secret" and not value.startswith("AKIA") and not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+            continue
+        group[start, end, kind] = None
+        for inner, pattern in _INNER.get(broad, {}).items():
+            for i in pattern.finditer(text, m.start(), m.end()):
+                group[i.start(1), i.end(1), inner] = None
+        yield list(group)
 
 
 def votes(text: str, start: int, end: int, kind: str) -> list[int]:
@@ -151,36 +171,42 @@ def shape(value: str) -> tuple[int, int, int]:
 FEATURES = [*LABELERS, "size", "digits", "letters"]
 
 
+SPAN = pa.struct([(name, pa.int32()) for name in ("start", "end", "kind", *FEATURES)])
+
+
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each group of overlapping spans."""
     # a document without a digit or an at sign has no candidate
     mark = np.zeros(256, np.int64)
     mark[48:58] = mark[64] = 1
     for batch in batches:
         column = batch.column("text")
-        out: list[list] = [[] for _ in range(4 + len(FEATURES))]
+        out: list[list] = [[] for _ in range(3 + len(FEATURES))]
+        rows, ends = [], [0]
         for s, e in text_slices(column):
             part = column.slice(s, e - s)
             data, offsets = utf8(part)
             seen = np.concatenate([[0], np.cumsum(mark[data])])
             for k in np.flatnonzero(seen[offsets[1:]] > seen[offsets[:-1]]).tolist():
                 text = part[k].as_py()
-                for start, end, kind in candidates(text):
-                    row = [s + k, start, end, KINDS.index(kind), *votes(text, start, end, kind), *shape(text[start:end])]
-                    for cell, value in zip(out, row):
-                        cell.append(value)
-        take = pa.array(out[0], pa.int64())
-        yield pa.record_batch(
-            [batch.column("doc_id").take(take), *[pa.array(x, pa.int32()) for x in out[1:]]],
-            names=["doc_id", "start", "end", "kind", *FEATURES],
-        )
+                for group in candidates(text):
+                    for start, end, kind in group:
+                        span = [start, end, KINDS.index(kind), *votes(text, start, end, kind), *shape(text[start:end])]
+                        for cell, value in zip(out, span):
+                            cell.append(value)
+                    rows.append(s + k)
+                    ends.append(len(out[0]))
+        values = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in out], fields=list(SPAN))
+        spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        yield pa.record_batch([batch.column("doc_id").take(pa.array(rows, pa.int64())), spans], names=["doc_id", "spans"])
 
 
 @dataclass
 class Reliability:
-    """Per labeler the probability of each vote given the truth, and per kind the prior."""
+    """Per labeler the probability of a vote for and against given the truth and that it votes, and per kind the prior."""
 
     prior: np.ndarray
-    table: np.ndarray  # truth, labeler, vote + 1
+    table: np.ndarray  # truth, labeler, vote + 1; the middle ones are 1, as saying nothing tells nothing
 
     def posterior(self, kind: np.ndarray, vote: np.ndarray) -> np.ndarray:
         logs = np.stack([np.log(1 - self.prior[kind]), np.log(self.prior[kind])])
@@ -190,28 +216,30 @@ class Reliability:
 
 
 def estimate(kind: np.ndarray, vote: np.ndarray, count: np.ndarray) -> Reliability:
-    """EM for the naive Bayes model of votes, started from the belief that votes are right in four cases of five and held to AGAINST."""
+    """EM for the naive Bayes model of votes.
+
+    It starts from the belief that votes are right in four cases of five, and a
+    failed check (of form, checksum or list, or a decoy's word before the span) in
+    nearly all. That belief stays on as a Dirichlet prior that weighs as much as
+    BELIEF of the spans: the most probable reliabilities under it are what is
+    estimated, and spans that outnumber it by far may say otherwise.
+    """
     labelers = vote.shape[1]
-    start = np.array([[0.4, 0.4, 0.2], [0.1, 0.4, 0.5]])
-    table = np.repeat(start[:, None, :], labelers, axis=1)
-    for labeler, against in AGAINST.items():
-        table[1, LABELERS.index(labeler)] = [against, 0.5 - against, 0.5]
+    table = np.repeat(np.array([[0.8, 1.0, 0.2], [0.2, 1.0, 0.8]])[:, None, :], labelers, axis=1)
+    for labeler in CHECKS:
+        table[1, LABELERS.index(labeler)] = [0.01, 1.0, 0.99]
     model = Reliability(np.full(len(KINDS), 0.5), table)
-    # pseudo-counts keep the labelers' meaning: a vote for a span never becomes evidence against it by a fluke
-    pseudo = 5 * model.table
+    belief = max(LEAST_BELIEF, BELIEF * count.sum()) * model.table
     for _ in range(EM_ROUNDS):
         p = model.posterior(kind, vote)
         weights = np.stack([count * (1 - p), count * p])
-        table = pseudo.copy()
+        table = belief.copy()
         for labeler in range(labelers):
             for truth in (0, 1):
                 table[truth, labeler] += np.bincount(vote[:, labeler] + 1, weights=weights[truth], minlength=3)
+        table[:, :, 1] = 0
         table /= table.sum(axis=2, keepdims=True)
-        for labeler, against in AGAINST.items():
-            row = table[1, LABELERS.index(labeler)]
-            if row[0] > against:
-                row[1:] *= (1 - against) / row[1:].sum()
-                row[0] = against
+        table[:, :, 1] = 1
         prior = (1 + np.bincount(kind, weights=weights[1], minlength=len(KINDS))) / (2 + np.bincount(kind, weights=count, minlength=len(KINDS)))
         done = np.abs(table - model.table).max() < 1e-6
         model = Reliability(prior, table)
@@ -234,8 +262,8 @@ def train_classifier(x: np.ndarray, target: np.ndarray, count: np.ndarray) -> np
     weight = count / count.sum()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        gradient = x.T @ (weight * (p - target)) + 1e-3 * w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
+        gradient = x.T @ (weight * (p - target)) + RIDGE * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -243,40 +271,67 @@ def train_classifier(x: np.ndarray, target: np.ndarray, count: np.ndarray) -> np
     return w
 
 
+def best_apart(start: np.ndarray, end: np.ndarray, strict: np.ndarray, score: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places of the spans that stay: in each group those of strict form first, then the longest, more probable, earlier; others only beside them."""
+    kept: list[int] = []
+    order = np.lexsort((start, -score, start - end, -strict, group))
+    taken: list[tuple[int, int]] = []
+    last = -1
+    for k in order.tolist():
+        if group[k] != last:
+            last, taken = group[k], []
+        if all(end[k] <= a or start[k] >= b for a, b in taken):
+            taken.append((start[k], end[k]))
+            kept.append(k)
+    return np.array(sorted(kept), np.int64)
+
+
 def _scorer(w: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(KINDS)
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            features = np.stack([batch.column(f).to_numpy() for f in FEATURES], axis=1)
-            score = 1 / (1 + np.exp(-np.clip(encode(kind, features) @ w, -35, 35)))
-            out = pa.record_batch(
-                [batch.column("doc_id"), batch.column("start"), batch.column("end"), names.take(pa.array(kind)), pa.array(score)],
+            spans = batch.column("spans")
+            group = np.repeat(np.arange(len(batch)), spans.value_lengths().to_numpy(zero_copy_only=False))
+            flat = spans.flatten()
+            start, end, kind, *features = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
+            score = 1 / (1 + np.exp(-np.clip(encode(kind, np.stack(features, axis=1)) @ w, -35, 35)))
+            good = np.flatnonzero(score >= THRESHOLD)
+            keep = good[best_apart(start[good], end[good], features[0][good], score[good], group[good])]
+            yield pa.record_batch(
+                [batch.column("doc_id").take(pa.array(group[keep])), pa.array(start[keep]), pa.array(end[keep]), names.take(pa.array(kind[keep])), pa.array(score[keep])],
                 names=["doc_id", "start", "end", "kind", "score"],
             )
-            yield out.filter(pa.array(score >= THRESHOLD))
 
     return run
 
 
+def learned(patterns: pd.DataFrame) -> np.ndarray:
+    """Weights of the span classifier from the counted patterns (kind, features, count)."""
+    kind, features, count = patterns["kind"].to_numpy(), patterns[FEATURES].to_numpy(), patterns["count"].to_numpy(float)
+    vote = features[:, : len(LABELERS)]
+    return train_classifier(encode(kind, features), estimate(kind, vote, count).posterior(kind, vote), count)
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, kind, score): spans of personal data and secrets; offsets count characters.
 
+    Spans of one document do not overlap: of accepted ones that would, those of
+    strict form go first, then the longest, the more probable, the earlier.
+
     Null and empty texts have none. A null doc_id stays null; repeated rows give
-    repeated results; texts are read whole. With few spans in all, the labelers'
-    starting reliabilities decide. Extra columns are ignored. An empty table, or
-    one without a candidate, gives no rows.
+    repeated results; texts are read whole, and numbers and secrets may be of any
+    length. With few spans in all, the belief in the labelers decides. Extra
+    columns are ignored. An empty table, or one without a candidate, gives no
+    rows.
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, start int, end int, kind int, " + ", ".join(f"{f} int" for f in FEATURES)
-    proposed = stored(rows.mapInArrow(_propose, schema), "spans")
+    fields = ", ".join(f"{f}: int" for f in ("start", "end", "kind", *FEATURES))
+    proposed = stored(rows.mapInArrow(_propose, f"doc_id long, spans array<struct<{fields}>>"), "spans")
     # one row per distinct pattern of kind, votes and shape: bounded whatever the corpus
-    patterns = proposed.groupBy("kind", *FEATURES).count().orderBy("kind", *FEATURES).toPandas()
+    each = proposed.select(F.explode("spans").alias("s")).select("s.*")
+    patterns = each.groupBy("kind", *FEATURES).count().orderBy("kind", *FEATURES).toPandas()
     if patterns.empty:
         weights = np.zeros(encode(np.zeros(1, int), np.zeros((1, len(FEATURES)), int)).shape[1])
     else:
-        kind, features, count = patterns["kind"].to_numpy(), patterns[FEATURES].to_numpy(), patterns["count"].to_numpy(float)
-        vote = features[:, : len(LABELERS)]
-        posterior = estimate(kind, vote, count).posterior(kind, vote)
-        weights = train_classifier(encode(kind, features), posterior, count)
+        weights = learned(patterns)
     return proposed.mapInArrow(_scorer(weights), "doc_id long, start int, end int, kind string, score double")

@@ -45,6 +45,63 @@ def test_planted_spans_are_found(spark):
     assert got & want == want and not {r for r in got if r[0] >= 1000}
 
 
+#: A span beside another number, a date or a key, inside one broad match.
+BESIDE = {
+    "4111 1111 1111 1111 12/27": ("4111 1111 1111 1111", "card"),
+    "3714 496353 98431": ("3714 496353 98431", "card"),
+    "415-555-0132 2 times": ("415-555-0132", "phone"),
+    "415-555-0132. 3 people": ("415-555-0132", "phone"),
+    "2024-05-01 415-555-0132": ("415-555-0132", "phone"),
+    "536-22-1789 2 of 3": ("536-22-1789", "ssn"),
+    "user=bob@example.com": ("bob@example.com", "email"),
+    "/?email=bob@example.com&x=1": ("bob@example.com", "email"),
+    "token = " + "a1b2c3d4e5" * 66: ("a1b2c3d4e5" * 66, "secret"),
+}
+
+
+def test_spans_beside_others_and_of_any_length(spark, small):
+    docs = table(spark, small, "documents").selectExpr("doc_id", "text")
+    rows = [(1_000_000 + k, f"so {text} ok") for k, text in enumerate(BESIDE)]
+    found = pii.spans(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id >= 1000000").collect()
+    got = {(r.doc_id, rows[r.doc_id - 1_000_000][1][r.start : r.end], r.kind) for r in found}
+    assert got == {(1_000_000 + k, value, kind) for k, (value, kind) in enumerate(BESIDE.values())}
+
+
+def test_overlaps_and_ties():
+    start, end = np.array([0, 2, 8, 8, 20, 20, 30, 33]), np.array([10, 6, 12, 12, 25, 25, 35, 38])
+    score = np.array([0.6, 0.9, 0.7, 0.8, 0.9, 0.9, 0.7, 0.7])
+    group = np.array([0, 0, 0, 1, 1, 1, 2, 2])
+    strict = np.ones(8, int)
+    # the longest; beside it nothing that overlaps; of equals the first; of a tie the earlier
+    assert pii.best_apart(start, end, strict, score, group).tolist() == [0, 3, 4, 6]
+    strict[0] = -1
+    assert pii.best_apart(start, end, strict, score, group).tolist() == [1, 2, 3, 4, 6]
+
+
+def test_span_classifier_is_a_ridge_regression():
+    """The weights leave no slope of the plainly written loss, and follow the targets on other rows."""
+    rng = np.random.default_rng(1)
+    kind, features = rng.integers(0, 6, 3000), np.concatenate([rng.integers(-1, 2, (3000, 6)), rng.integers(0, 3, (3000, 3))], axis=1)
+    x = pii.encode(kind, features)
+    truth = rng.normal(size=x.shape[1])
+    target, count = 1 / (1 + np.exp(-x @ truth)), rng.integers(1, 9, 3000).astype(float)
+    w = pii.train_classifier(x[:2000], target[:2000], count[:2000])
+
+    def loss(v):
+        total = 0.0
+        for row, t, c in zip(x[:2000], target[:2000], count[:2000]):
+            z = row @ v
+            total += c * (t * np.logaddexp(0, -z) + (1 - t) * np.logaddexp(0, z))
+        return total / count[:2000].sum() + 0.5 * pii.RIDGE * v @ v
+
+    for k in range(0, len(w), 5):
+        step = np.zeros(len(w))
+        step[k] = 1e-4
+        assert abs(loss(w + step) - loss(w - step)) / 2e-4 < 1e-6
+    right = (x[2000:] @ w > 0) == (target[2000:] > 0.5)
+    assert right.mean() > 0.95
+
+
 def test_documents(spark, small):
     docs = table(spark, small, "documents")
     got = {(r.doc_id, r.kind) for r in pii.spans(docs).collect()}
@@ -60,7 +117,9 @@ def test_candidate_search_is_linear():
 
     began = time.time()
     for text in ("a." * 50_000 + "@", "1-" * 50_000, "A1" * 100_000, "@" * 100_000, "9" * 100_000):
-        list(pii.candidates(text))
+        for group in pii.candidates(text):
+            for span in group:
+                pii.votes(text, *span)
     assert time.time() - began < 5
 
 
