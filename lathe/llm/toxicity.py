@@ -2,9 +2,9 @@
 
 Features are the hashed n-grams of the lower-cased text, valued by how dense
 they are in it. Each is scaled by its naive Bayes log-count ratio between the
-two classes, a logistic regression is fitted on the scaled features. N-grams whose frequencies do not
-differ significantly are no features, so that scoring a text touches only the
-few n-grams that matter.
+two classes, and a logistic regression is fitted on the scaled features. As it is
+linear in the densities, a text's score is a sum over its places, with one look
+into a table for each n-gram and no counting.
 
 The fit is on the driver over a bounded sample of labelled rows; scoring is one
 map over the documents, without a shuffle.
@@ -29,16 +29,14 @@ from lathe.llm.kernels import text_slices
 TRAIN_PER_CLASS = 2000
 SIZES = (3, 4, 5, 6)
 HASH_BITS = 19
-#: Bytes of training text whose n-grams the driver holds at once.
-TRAIN_SLICE = 1 << 17
+#: Places of training n-grams that are added up at once.
+TRAIN_SLICE = 1 << 20
 #: Probability from which a document counts as toxic.
 THRESHOLD = 0.5
-#: An n-gram is a feature when its share of documents differs between the
-#: classes by so many standard errors.
-EVIDENCE = 3.0
 SMOOTHING = 1.0
 L2 = 1e-4
-ROUNDS = 400
+#: Most steps of the fit, and the length of a gradient that ends it.
+ROUNDS, FLAT = 40, 1e-3
 _SEED = 0x5EED
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x7FEB352D], np.uint32)
@@ -47,26 +45,23 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1,
 @dataclass
 class Model:
     coefficient: np.ndarray
-    alive: np.ndarray
     bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Probability of being toxic; 0 for null and empty texts."""
         out = np.zeros(len(texts))
+        if self.bias == -np.inf:
+            return out
         for start, stop in text_slices(texts):
             code, offsets = codepoints(texts.slice(start, stop - start))
-            rows, ids = [], []
+            total = np.zeros(stop - start)
             for n, index in grams(code):
-                at = np.flatnonzero(self.alive[index])
-                row = np.searchsorted(offsets, at, side="right") - 1
-                ok = at + n <= offsets[row + 1]
-                rows.append(row[ok])
-                ids.append(index[at[ok]])
-            z = np.full(stop - start, self.bias)
-            if rows:
-                row, feature, value = _counted(np.concatenate(rows), np.concatenate(ids), offsets)
-                z += np.bincount(row, weights=value * self.coefficient[feature], minlength=stop - start)
-            z[np.diff(offsets) == 0] = -np.inf
+                running = np.concatenate([[0.0], np.cumsum(self.coefficient[index], dtype=np.float64)])
+                first = np.minimum(offsets[:-1], len(index))
+                total += running[np.clip(offsets[1:] - n + 1, first, len(index))] - running[first]
+            size = np.diff(offsets)
+            z = self.bias + total * 1000 / np.maximum(size, 1)
+            z[size == 0] = -np.inf
             with np.errstate(over="ignore"):
                 out[start:stop] = 1 / (1 + np.exp(-z))
         return out
@@ -97,48 +92,88 @@ def grams(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield n, (mixed >> np.uint32(32 - HASH_BITS)).astype(np.int32)
 
 
-def _counted(row: np.ndarray, feature: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, feature) and the value: the logarithm of one plus the occurrences per thousand characters."""
-    key, count = np.unique((row.astype(np.int64) << HASH_BITS) | feature, return_counts=True)
-    row = key >> HASH_BITS
-    return row, key & ((1 << HASH_BITS) - 1), np.log1p(1000 * count / np.diff(offsets)[row])
-
-
-def _features(texts: pa.Array, alive: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, feature, value) of the texts, slice by slice; only of the features alive, where that is given."""
-    for start, stop in text_slices(texts, TRAIN_SLICE):
-        code, offsets = codepoints(texts.slice(start, stop - start))
-        owner = np.repeat(np.arange(stop - start), np.diff(offsets))
-        r, f = [], []
-        for n, index in grams(code):
-            ok = owner[: len(index)] == owner[n - 1 :]
-            if alive is not None:
-                ok &= alive[index]
-            r.append(owner[: len(index)][ok])
-            f.append(index[ok])
-        if r:
-            row, feature, value = _counted(np.concatenate(r), np.concatenate(f), offsets)
-            yield (row + start).astype(np.int32), feature.astype(np.int32), value.astype(np.float32)
-
-
-def _logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2 logistic regression with balanced classes, by accelerated gradient steps."""
-    n = len(y)
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    # a bound on the curvature: the weighted mean of the squared norms
-    norm = np.bincount(row, weights=value * value, minlength=n)
-    step = 4.0 / (1 + 4 * L2 + (weight * norm).sum())
-    w, b = np.zeros(width), 0.0
-    vw, vb, t = w.copy(), b, 1.0
+class Sample:
+    """The n-grams of the training texts: a text's features, repeated as often as they occur, lie in a row."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        parts, sizes = [], []
+        self.weight = np.zeros(len(texts))
+        for start, stop in text_slices(texts):
+            code, offsets = codepoints(texts.slice(start, stop - start))
+            owner = np.repeat(np.arange(stop - start), np.diff(offsets))
+            found = []
+            for n, index in grams(code):
+                ok = owner[: len(index)] == owner[n - 1 :]
+                found.append((owner[: len(index)][ok], index[ok]))
+            # what one occurrence adds to a feature: its share of a thousand characters
+            self.weight[start:stop] = 1000 / np.maximum(np.diff(offsets), 1)
+            if found:
+                row, index = (np.concatenate(x) for x in zip(*found))
+                parts.append(index[np.argsort(row, kind="stable")])
+                sizes.append(np.bincount(row, minlength=stop - start))
+            else:
+                sizes.append(np.zeros(stop - start, np.int64))
+        self.index = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+
+    def _slices(self) -> Iterator[tuple[int, int]]:
+        """Ranges of texts that have about TRAIN_SLICE places."""
+        k, n = 0, len(self.ends) - 1
+        while k < n:
+            stop = min(n, max(k + 1, int(np.searchsorted(self.ends, self.ends[k] + TRAIN_SLICE, side="right")) - 1))
+            yield k, stop
+            k = stop
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """For each text the sum of its features' values, weighted."""
+        out = np.zeros(len(self.ends) - 1)
+        for a, b in self._slices():
+            ends = self.ends[a : b + 1] - self.ends[a]
+            running = np.concatenate([[0.0], np.cumsum(w[self.index[self.ends[a] : self.ends[b]]], dtype=np.float64)])
+            out[a:b] = running[ends[1:]] - running[ends[:-1]]
+        return out * self.weight
+
+    def spread(self, g: np.ndarray) -> np.ndarray:
+        """For each feature the sum over the texts of its value times the text's g."""
+        out = np.zeros(1 << HASH_BITS)
+        for a, b in self._slices():
+            each = np.repeat((g * self.weight)[a:b], np.diff(self.ends[a : b + 1]))
+            out += np.bincount(self.index[self.ends[a] : self.ends[b]], weights=each, minlength=len(out))
+        return out
+
+
+def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Where a smooth convex function is least, by L-BFGS with ten pairs and halved steps."""
+    value, g = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(ROUNDS):
-        z = np.bincount(row, weights=value * vw[col], minlength=n) + vb
-        g = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        new_w = vw - step * (np.bincount(col, weights=value * g[row], minlength=width) + L2 * vw)
-        new_b = vb - step * g.sum()
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        vw, vb = new_w + (t - 1) / t2 * (new_w - w), new_b + (t - 1) / t2 * (new_b - b)
-        w, b, t = new_w, new_b, t2
-    return w, b
+        if np.linalg.norm(g) < FLAT:
+            break
+        d, alphas = -g, []
+        for s, y, r in reversed(pairs):
+            alphas.append(r * (s @ d))
+            d = d - alphas[-1] * y
+        if pairs:
+            s, y, r = pairs[-1]
+            d = d / (r * (y @ y))
+        else:
+            d = d / max(1.0, np.linalg.norm(g))
+        for (s, y, r), alpha in zip(pairs, reversed(alphas)):
+            d = d + s * (alpha - r * (y @ d))
+        slope, step = g @ d, 1.0
+        while True:
+            new_x = x + step * d
+            new_value, new_g = f(new_x)
+            if new_value <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, y = new_x - x, new_g - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[-9:], (s, y, 1 / (s @ y))]
+        if step < 1e-10:
+            break
+        x, value, g = new_x, new_value, new_g
+    return x
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
@@ -146,26 +181,24 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     width = 1 << HASH_BITS
     y = np.array(toxic, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(width, np.float32), np.zeros(width, bool), -np.inf)
-    column = pa.array(texts, pa.string())
-    # sums and squared sums by class: a slice's features are forgotten once added
-    sums, squares = np.zeros((2, width)), np.zeros((2, width))
-    for row, col, value in _features(column):
-        for c in (0, 1):
-            mine = y[row] == c
-            sums[c] += np.bincount(col[mine], weights=value[mine], minlength=width)
-            squares[c] += np.bincount(col[mine], weights=value[mine] ** 2, minlength=width)
-    n = np.array([[(y == 0).sum()], [(y == 1).sum()]])
-    shares = (SMOOTHING + sums) / (SMOOTHING + sums).sum(axis=1, keepdims=True)
+        return Model(np.zeros(width, np.float32), -np.inf)
+    sample = Sample(pa.array(texts, pa.string()))
+    shares = np.stack([SMOOTHING + sample.spread((y == c).astype(np.float64)) for c in (0, 1)])
+    shares /= shares.sum(axis=1, keepdims=True)
     ratio = np.log(shares[1] / shares[0])
-    # n-grams whose mean values differ by less than EVIDENCE standard errors say nothing
-    error = np.sqrt(((squares + SMOOTHING) / n**2).sum(axis=0))
-    means = sums / n
-    alive = np.abs(means[1] - means[0]) >= EVIDENCE * error
-    parts = list(_features(column, alive)) or [(np.zeros(0, int),) * 2 + (np.zeros(0),)]
-    row, col, value = (np.concatenate(x) for x in zip(*parts))
-    w, b = _logistic(row, col, value * ratio[col], y, width)
-    return Model((w * ratio * alive).astype(np.float32), alive, float(b))
+    # both classes count alike
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    sign = 2 * y - 1
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w = x[:-1]
+        margin = sign * (sample.times((w * ratio).astype(np.float32)) + x[-1])
+        g = -weight * sign / (1 + np.exp(np.clip(margin, -35, 35)))
+        value = weight @ np.logaddexp(0, -margin) + 0.5 * L2 * (w @ w)
+        return float(value), np.append(ratio * sample.spread(g) + L2 * w, g.sum())
+
+    x = _minimum(loss, np.zeros(width + 1))
+    return Model((x[:-1] * ratio).astype(np.float32), float(x[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

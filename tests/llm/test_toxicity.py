@@ -29,23 +29,49 @@ def test_held_out_accuracy():
     assert np.mean((score >= toxicity.THRESHOLD) == np.array([y for _, _, y in rows[400:]])) >= 0.97
 
 
+def values(text):
+    """{feature: value} of a text, n-gram by n-gram."""
+    out = {}
+    low = text.lower()
+    for n in toxicity.SIZES:
+        for k in range(len(low) - n + 1):
+            code = np.frombuffer(low[k : k + n].encode("utf-32-le"), np.uint32)
+            feature = int(next(i[0] for size, i in toxicity.grams(code) if size == n))
+            out[feature] = out.get(feature, 0) + 1000 / len(low)
+    return out
+
+
 def test_score_is_the_sum_over_ngrams():
     """Against a plain loop over every n-gram of every text."""
     rows = made(120, 2)
     model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
-    texts = [rows[0][1], rows[1][1], "Äh, WORTHLESS scum — 日本!", "ab"]
+    texts = [rows[0][1], rows[1][1], "Äh, WORTHLESS scum — 日本!", "ab", "abc"]
     for text, got in zip(texts, model.score(pa.array(texts))):
-        z, counts = model.bias, {}
-        for n in toxicity.SIZES:
-            for k in range(len(text) - n + 1):
-                code = np.frombuffer(text.lower()[k : k + n].encode("utf-32-le"), np.uint32)
-                feature = next(i[0] for size, i in toxicity.grams(code) if size == n)
-                counts[feature] = counts.get(feature, 0) + 1
-        for feature, c in counts.items():
-            z += model.coefficient[feature] * np.log1p(1000 * c / len(text))
+        z = model.bias + sum(model.coefficient[f] * v for f, v in values(text).items())
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
 
 
+def test_fit_is_the_regression_on_scaled_counts(monkeypatch):
+    """Ratios and loss computed from plain counts: the fitted weights leave no slope."""
+    monkeypatch.setattr(toxicity, "ROUNDS", 500)
+    monkeypatch.setattr(toxicity, "FLAT", 1e-6)
+    rows = made(40, 3)
+    y = np.array([t for _, _, t in rows], float)
+    model = toxicity.fit([t for _, t, _ in rows], y.tolist())
+    tables = [values(t) for _, t, _ in rows]
+    names = sorted({f for x in tables for f in x})
+    x = np.array([[t.get(f, 0.0) for f in names] for t in tables])
+    unseen = (1 << toxicity.HASH_BITS) - len(names)
+    share = [(toxicity.SMOOTHING + x[y == c].sum(axis=0)) / (x[y == c].sum() + toxicity.SMOOTHING * (len(names) + unseen)) for c in (0, 1)]
+    ratio = np.log(share[1] / share[0])
+    w = model.coefficient[names] / ratio
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    slope = weight * (1 / (1 + np.exp(-(x @ model.coefficient[names] + model.bias))) - y)
+    assert np.abs(ratio * (x.T @ slope) + toxicity.L2 * w).max() < 1e-4 and abs(slope.sum()) < 1e-4
+    others = np.delete(model.coefficient, names)
+    assert np.abs(others).max() < 1e-6
+
+
 def test_on_labelled_documents(spark):
     """Fitted on one half of the labels, measured on the other; some labels are noise."""
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
