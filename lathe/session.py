@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,9 +17,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
 }
 
-#: Rows in a batch for Python. A row may hold a whole document, and executor and
-#: worker each keep several copies of a batch, outside the heap.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch for Python. A row may hold a whole document of any
+#: length, and executor and worker each keep several copies of a batch, outside
+#: the heap.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,10 +32,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of BATCH_ROWS, unless the session asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Send texts to Python in batches of BATCH_ROWS and BATCH_BYTES at most, unless the session asks for smaller ones."""
+    for what, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{what}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,4 +70,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lathe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STORED[back] = path
+    return back
+
+
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for this frame, once nothing reads it any more."""
+    path = _STORED.pop(df, None)
+    if path:
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
