@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.session import shared_dir, small_batches, stored
+from lathe.session import delete, forget, shared_dir, small_batches, stored
 
-__all__ = ["LAST_ID", "numbered", "pick", "position", "shared_dir", "sortable_id", "stored", "table", "text_key"]
+__all__ = ["LAST_ID", "delete", "forget", "numbered", "pick", "position", "shared_dir", "sortable_id", "stored", "table", "text_key"]
 
 #: Sort value of a null id: after every real one.
 LAST_ID = (1 << 63) - 1

@@ -17,14 +17,14 @@ copies stay linear in what is shuffled. Texts travel once, to drop the copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.llm.common import numbered, pick, position, sortable_id, stored, text_key
+from lathe.llm.common import forget, numbered, pick, position, sortable_id, stored, text_key
 from lathe.llm.kernels import Words, mix, text_slices
 
 BITS = 128
@@ -34,8 +34,11 @@ RADIUS = 24
 #: (some segment then differs in at most one bit), further ones up to RADIUS
 #: with the probability in the README (recall against brute force above 0.9).
 SEGMENTS = 7
-#: High bits of a segment that choose the group a row goes to.
-ROUTE_BITS = 8
+#: High bits of a segment that choose the group a row goes to: as many as leave
+#: about GROUP_ROWS fingerprints with one value of them. What pairs are met does
+#: not depend on it.
+LEAST_ROUTE_BITS, MOST_ROUTE_BITS = 4, 14
+GROUP_ROWS = 1 << 15
 #: Words shorter than this many bytes are function words: they count only in
 #: texts that have no longer word.
 LONG_WORD = 5
@@ -100,29 +103,37 @@ def segments(fp: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def route_bits(fingerprints: int) -> int:
+    return min(max((fingerprints // GROUP_ROWS).bit_length(), LEAST_ROUTE_BITS), MOST_ROUTE_BITS)
+
+
+def _router(route_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (route, own, low, fp): one for a table entry, which also probes the
     exact high part, and one for each flip of a high bit, which only probes."""
-    for batch in batches:
-        column = batch.column("fp")
-        fp = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        n = len(fp)
-        route, own, low, who = [], [], [], []
-        for k, value in enumerate(segments(fp)):
-            width = int(_EDGES[k + 1] - _EDGES[k])
-            cut = width - ROUTE_BITS
-            high, rest = value >> np.uint32(cut), value & np.uint32((1 << cut) - 1)
-            for flip in range(-1, ROUTE_BITS):
-                part = high if flip < 0 else high ^ np.uint32(1 << flip)
-                route.append(part.astype(np.int32) + (k << ROUTE_BITS))
-                own.append(np.full(n, flip < 0))
-                low.append(rest.astype(np.int32))
-                who.append(np.arange(n))
-        who = np.concatenate(who)
-        yield pa.record_batch(
-            [pa.array(np.concatenate(route)), pa.array(np.concatenate(own)), pa.array(np.concatenate(low)), column.take(pa.array(who))],
-            names=["route", "own", "low", "fp"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("fp")
+            fp = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            n = len(fp)
+            route, own, low, who = [], [], [], []
+            for k, value in enumerate(segments(fp)):
+                width = int(_EDGES[k + 1] - _EDGES[k])
+                cut = width - route_bits
+                high, rest = value >> np.uint32(cut), value & np.uint32((1 << cut) - 1)
+                for flip in range(-1, route_bits):
+                    part = high if flip < 0 else high ^ np.uint32(1 << flip)
+                    route.append(part.astype(np.int32) + (k << route_bits))
+                    own.append(np.full(n, flip < 0))
+                    low.append(rest.astype(np.int32))
+                    who.append(np.arange(n))
+            who = np.concatenate(who)
+            yield pa.record_batch(
+                [pa.array(np.concatenate(route)), pa.array(np.concatenate(own)), pa.array(np.concatenate(low)), column.take(pa.array(who))],
+                names=["route", "own", "low", "fp"],
+            )
+
+    return run
 
 
 def _blocks(count: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -235,16 +246,18 @@ def group_edges(own: np.ndarray, low: np.ndarray, width: int, words: np.ndarray,
     return forest.edges
 
 
-def _edges_of_group(key: tuple, rows: pa.Table) -> pa.Table:
-    route = key[0].as_py()
-    k = route >> ROUTE_BITS
-    width = int(_EDGES[k + 1] - _EDGES[k]) - ROUTE_BITS
-    column = rows.column("fp").combine_chunks()
-    words = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
-    own = rows.column("own").to_numpy()
-    low = rows.column("low").to_numpy().astype(np.int32)
-    edges = np.array(group_edges(own, low, width, words, RADIUS), dtype=np.int64).reshape(-1, 2)
-    return pa.table({"a": column.take(pa.array(edges[:, 0])), "b": column.take(pa.array(edges[:, 1]))})
+def _group_searcher(route_bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        k = key[0].as_py() >> route_bits
+        width = int(_EDGES[k + 1] - _EDGES[k]) - route_bits
+        column = rows.column("fp").combine_chunks()
+        words = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+        own = rows.column("own").to_numpy()
+        low = rows.column("low").to_numpy().astype(np.int32)
+        edges = np.array(group_edges(own, low, width, words, RADIUS), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": column.take(pa.array(edges[:, 0])), "b": column.take(pa.array(edges[:, 1]))})
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,10 +282,11 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         down = large.withColumn("m", F.min("v").over(node))
-        edges = stored(
+        old, edges = edges, stored(
             down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).distinct(),
             "edges",
         )
+        forget(old)
         after = mark(edges)
         if after == before:
             break
@@ -290,13 +304,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("tk"), "text")
     prints = stored(rows.mapInArrow(_with_fingerprint, "id long, tk long, fp binary").where("fp is not null"), "fingerprints")
-    distinct = prints.select("fp").distinct()
+    distinct = stored(prints.select("fp").distinct(), "distinct")
+    bits = route_bits(distinct.count())
     pairs = (
-        distinct.mapInArrow(_routes, "route int, own boolean, low int, fp binary")
+        distinct.mapInArrow(_router(bits), "route int, own boolean, low int, fp binary")
         .groupBy("route")
-        .applyInArrow(_edges_of_group, "a binary, b binary")
+        .applyInArrow(_group_searcher(bits), "a binary, b binary")
     )
     roots = components(pairs)
+    forget(distinct)
     order = F.struct(sortable_id(F.col("id")).alias("sort"), "tk", "id", "fp")
     # one row for each fingerprint before its group is looked up: exact copies,
     # however many, meet the group as one row
@@ -317,6 +333,9 @@ def stays() -> Column:
 def duplicates(docs: DataFrame) -> DataFrame:
     """One row (doc_id, duplicate_of, hamming) for each document that a near copy makes superfluous.
 
+    Pairs up to 2 * SEGMENTS - 1 bits apart are always found, further ones up to
+    RADIUS with a probability that falls with the distance (README: recall 0.945).
+
     ``duplicate_of`` is the document that stays for its group; ``hamming`` is the
     distance of the two fingerprints, which may exceed RADIUS where documents
     between them chain the group.

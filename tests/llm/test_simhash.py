@@ -47,6 +47,18 @@ def test_group_edges_connect_what_pairs_connect(seed):
     assert (same(got) == same(want)).all()
 
 
+@pytest.mark.parametrize("bits", [4, 8, 11])
+def test_pairs_do_not_depend_on_the_routes(spark, small, monkeypatch, bits):
+    docs = table(spark, small, "documents")
+    want = sorted(tuple(r) for r in simhash.duplicates(docs).collect())
+    monkeypatch.setattr(simhash, "route_bits", lambda n: bits)
+    assert sorted(tuple(r) for r in simhash.duplicates(docs).collect()) == want
+
+
+def test_route_bits():
+    assert [simhash.route_bits(n) for n in (0, 1 << 18, 1 << 20, 1 << 27, 1 << 40)] == [4, 4, 6, 13, 14]
+
+
 def test_duplicates_match_brute_force(spark, small):
     docs = table(spark, small, "documents")
     rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
