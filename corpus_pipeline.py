@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm.common import shared_dir, table
+from lathe.llm.common import delete, shared_dir, table
 from lathe.llm.decontam import drop_contaminated
 from lathe.llm.linededup import without_repeated_lines
 from lathe.llm.packing import packed
@@ -53,10 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; each result is written to the shared folder and read again.
+
+    A stage's folder is deleted once the next one is written. Null, empty and
+    word-less texts pass the first four stages and have nothing to pack; of
+    repeated rows one is left after the third; an empty table gives no rows.
+    """
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        done, path = path, f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            delete(spark, done)
     return docs
