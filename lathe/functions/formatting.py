@@ -5,8 +5,10 @@ from __future__ import annotations
 import json as _json
 import re
 import string
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,35 +24,56 @@ def py_str(x: Column, kind: str) -> Column:
     return F.when(x.isNull(), "None").otherwise(text)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def float_repr(x: Column) -> Column:
     """Shortest digits that round-trip, laid out as Python does: exponents outside -5..15 only."""
+
+    def parted(raw: Column) -> Column:
+        half = F.split(raw, "E", 2)
+        return F.struct(
+            F.when(raw.startswith("-"), "-").otherwise("").alias("sign"),
+            F.ltrim(F.get(half, F.lit(0)), F.lit("-")).alias("mantissa"),
+            F.coalesce(F.get(half, F.lit(1)), F.lit("0")).try_cast("int").alias("exponent"),
+        )
+
+    def pointed(p: Column) -> Column:
+        # value = 0.DIGITS * 10 ** point
+        whole = F.instr(p["mantissa"], ".") - 1
+        digits = F.translate(p["mantissa"], ".", "")
+        stripped = F.ltrim(digits, F.lit("0"))
+        return F.struct(
+            p["sign"].alias("sign"),
+            F.rtrim(stripped, F.lit("0")).alias("digits"),
+            (p["exponent"] + whole - F.length(digits) + F.length(stripped)).alias("point"),
+        )
+
+    def shown(p: Column) -> Column:
+        digits, point = p["digits"], p["point"]
+        n = F.length(digits)
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+            .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+        tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise("")
+        size = F.abs(point - 1).cast("string")
+        scientific = F.concat(F.left(digits, F.lit(1)), tail, F.lit("e"), F.when(point < 1, "-").otherwise("+"), F.when(F.length(size) < 2, "0").otherwise(""), size)
+        return F.concat(p["sign"], F.when((point > -4) & (point <= 16), plain).otherwise(scientific))
+
+    def signed(text: str) -> Column:
+        return F.when(F.signum(x) < 0, "-" + text).otherwise(text)
+
     raw = x.cast("double").cast("string")
-    digits = F.regexp_replace(F.regexp_extract(raw, r"^-?([\d.]+)", 1), r"\.0$|\.", "")
-    sign = F.when(raw.startswith("-"), "-").otherwise("")
-    exponent = F.when(raw.contains("E"), F.regexp_extract(raw, r"E(-?\d+)$", 1)).otherwise("0").try_cast("int")
-    # value = 0.DIGITS * 10 ** point
-    whole = F.length(F.regexp_extract(raw, r"^-?(\d+)", 1))
-    stripped = F.regexp_replace(digits, "^0+", "")
-    point = exponent + whole - (F.length(digits) - F.length(stripped))
-    stripped = F.regexp_replace(stripped, "0+$", "")
-    n = F.length(stripped)
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), stripped))
-        .when(point >= n, F.concat(stripped, F.repeat(F.lit("0"), point - n), F.lit(".0")))
-        .otherwise(F.concat(F.left(stripped, point), F.lit("."), F.substring(stripped, point + 1, n)))
-    )
-    tail = F.when(n > 1, F.concat(F.lit("."), F.substring(stripped, F.lit(2), n))).otherwise("")
-    power = point - 1
-    scientific = F.concat(
-        F.left(stripped, F.lit(1)), tail, F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0"))
-    )
-    shown = F.when((point > -4) & (point <= 16), plain).otherwise(scientific)
     return (
         F.when(F.isnan(x), "nan")
-        .when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(x == 0, F.concat(sign, F.lit("0.0")))
-        .when(F.abs(x) == 5e-324, F.concat(sign, F.lit("5e-324")))  # older JVMs show two digits
-        .otherwise(F.concat(sign, shown))
+        .when(F.abs(x) == float("inf"), signed("inf"))
+        .when(x == 0, F.when(raw.startswith("-"), "-0.0").otherwise("0.0"))
+        .when(F.abs(x) == 5e-324, signed("5e-324"))  # older JVMs show two digits
+        .otherwise(_let(_let(_let(raw, parted), pointed), shown))
     )
 
 
@@ -66,9 +89,11 @@ def _plain(value):
 
 
 def _arrow(f):
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: f(_plain(v)))
+    """f over a column as text. Values of any type go to Python in Arrow batches; f itself is called once a value."""
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([f(v) for v in x.to_pylist()], pa.string())
 
     return run
 

@@ -108,7 +108,7 @@ def with_name(p: Column, new: str) -> Column:
 
 
 def fnmatch(x: Column, pattern: str) -> Column:
-    return x.rlike(_fnmatch.translate(pattern).replace("\\Z", "\\z"))
+    return x.rlike("\\A" + _fnmatch.translate(pattern).replace("\\Z", "\\z"))
 
 
 def has_magic(pattern: str) -> bool:

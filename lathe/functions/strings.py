@@ -59,7 +59,8 @@ def lstrip(x: Column, chars: str | None = None) -> Column:
 
 
 def rstrip(x: Column, chars: str | None = None) -> Column:
-    return F.regexp_replace(x, f"{_set(chars)}+\\z", "")
+    # looked at from the first of a run only, else long runs take quadratic time
+    return F.regexp_replace(x, f"(?<!{_set(chars)}){_set(chars)}++\\z", "")
 
 
 def strip(x: Column, chars: str | None = None) -> Column:
@@ -70,12 +71,14 @@ def split(x: Column, sep: str | None = None, maxsplit: int = -1) -> Column:
     if sep == "":
         raise ValueError("empty separator")
     if sep is None:
-        body = lstrip(x) if maxsplit >= 0 else strip(x)
+        if maxsplit < 0:
+            # only the ends can be empty
+            return F.array_remove(F.split(x, f"{SPACE}+", -1), "")
+        body = lstrip(x)
         # the rest keeps its inner blanks; only the ends are cut
-        parts = F.split(body, f"{SPACE}+", maxsplit + 1 if maxsplit >= 0 else -1)
-        if maxsplit >= 0:
-            last = F.size(parts) - 1
-            parts = F.filter(F.transform(parts, lambda p, k: F.when(k == last, rstrip(p) if maxsplit == 0 else p).otherwise(p)), lambda p: p != "")
+        parts = F.split(body, f"{SPACE}+", maxsplit + 1)
+        last = F.size(parts) - 1
+        parts = F.filter(F.transform(parts, lambda p, k: F.when(k == last, rstrip(p) if maxsplit == 0 else p).otherwise(p)), lambda p: p != "")
         return F.when(body == "", F.array().cast("array<string>")).otherwise(parts)
     return F.split(x, quote(sep), maxsplit + 1 if maxsplit >= 0 else -1)
 

@@ -15,12 +15,12 @@ ENTRY = "id string, program string, argv_tail array<string>, source string, firs
 
 def normalise(text: Column) -> Column:
     """Line breaks unified, blanks at line ends cut, blank lines at both ends dropped; indentation stays."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
-    out = F.regexp_replace(out, "[ \t]+(?=\n|\\z)", "")
-    out = F.regexp_replace(out, "(?U)\\A(?:\\s*\n)+", "")
-    out = F.regexp_replace(out, "(?U)(?:\n\\s*)+\\z", "")
-    # one line of nothing but white space is empty as well
-    return F.when(out.rlike("(?U)\\A\\s*\\z"), "").otherwise(out)
+    out = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    # a run of blanks is looked at from its first one only, else long runs take quadratic time
+    out = F.regexp_replace(out, "(?<![ \t])[ \t]++(?=\n|\\z)", "")
+    out = F.regexp_replace(out, "(?U)\\A\\s*\n", "")
+    # up to the end of the last line that is not blank; nothing of a text without one
+    return F.regexp_extract(out, "(?sU)\\A.*\\S[^\n]*", 0)
 
 
 def content_key(text: Column) -> Column:
@@ -66,7 +66,7 @@ def merge(*groups: DataFrame) -> DataFrame:
     dates = F.when(F.col("first_seen") != "", F.col("first_seen"))
     winner = F.min_by(F.struct("program", "argv_tail", "source", "stdin_sample", "extra"), rank())
     merged = once.groupBy("id").agg(winner.alias("w"), F.sum("count").alias("count"), F.coalesce(F.min(dates), F.lit("")).alias("first_seen"))
-    return merged.select("id", "w.program", "w.argv_tail", "w.source", "first_seen", "count", "w.stdin_sample", "w.extra").orderBy("id")
+    return merged.select("id", "w.program", "w.argv_tail", "w.source", "first_seen", "count", "w.stdin_sample", "w.extra")
 
 
 def dedupe_by_key(rows: DataFrame, key: Column, first: str) -> DataFrame:
@@ -84,17 +84,19 @@ def nth_value(values: Column, q: float) -> Column:
 def percentiles(rows: DataFrame, value: str, quantiles: dict[str, float], *by: str) -> DataFrame:
     """Percentiles by the int(q * n) rule without gathering a group in one row.
 
-    Values are ranked by a window and the wanted ranks picked, so that a group
-    of any size is sorted with spilling.
+    Values are counted before they are ranked, so that what is sorted is the
+    distinct values of a group, not its rows.
     """
-    ranked = rows.where(F.col(value).isNotNull()).withColumns(
-        {
-            "__n": F.count("*").over(Window.partitionBy(*by)),
-            "__k": F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1,
-        }
-    )
-    picks = [F.max(F.when(F.col("__k") == F.least((F.lit(q) * F.col("__n")).cast("int"), F.col("__n") - 1), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*by).agg(*picks)
+    ranked = value_ranks(rows, value, *by)
+    place = lambda q: F.least((F.lit(q) * F.col("__n")).cast("long"), F.col("__n") - 1)
+    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") > place(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+
+
+def value_ranks(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """Distinct values with __upto, how many of the group are at most as large, and __n, how many there are; nulls are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
+    group = Window.partitionBy(*by)
+    return counts.withColumns({"__n": F.sum("__c").over(group), "__upto": F.sum("__c").over(group.orderBy(value))})
 
 
 def top_counts(rows: DataFrame, key: str, k: int) -> DataFrame:

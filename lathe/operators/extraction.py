@@ -129,10 +129,7 @@ class ExtractPrograms:
 
 def extract(commands: DataFrame, command: str) -> DataFrame:
     """The rows joined laterally with the programs of their command."""
-    spark = commands.sparkSession
-    spark.udtf.register("lathe_extract_programs", ExtractPrograms)
-    commands.createOrReplaceTempView("lathe_commands")
-    return spark.sql(f"SELECT c.*, p.* FROM lathe_commands c, LATERAL lathe_extract_programs(c.`{command}`) p")
+    return commands.lateralJoin(ExtractPrograms(F.col(command).outer())).select("*")
 
 
 def looks_pythonish(command: Column) -> Column:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.operators.corpus import value_ranks
 from lathe.session import stored
 
 
@@ -104,22 +107,23 @@ def merge_dicts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
     """mean, median, variances and deviations per group, as Python's statistics module defines them."""
-    return df.groupBy(*by).agg(
+    moments = df.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)").alias("median_low"),
         F.var_pop(value).alias("pvariance"),
         F.var_samp(value).alias("variance"),
         F.stddev_pop(value).alias("pstdev"),
         F.stddev_samp(value).alias("stdev"),
     )
+    # medians by counted values: no group is held in one place
+    low, high = (F.min(F.when(F.col("__upto") > place, F.col(value))) for place in (F.expr("(__n - 1) div 2"), F.expr("__n div 2")))
+    medians = value_ranks(df, value, *by).groupBy(*[F.col(b).alias(f"__{b}") for b in by]).agg(((low.cast("double") + high.cast("double")) / 2).alias("median"), low.alias("median_low"))
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by], F.lit(True))
+    return moments.join(medians, same, "left").select(*by, "n", "mean", "median", "median_low", "pvariance", "variance", "pstdev", "stdev")
 
 
 def median_high(df: DataFrame, value: str, *by: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumns({"__n": F.count("*").over(w), "__k": F.row_number().over(w.orderBy(value)) - 1})
-    return ranked.where("__k = __n div 2").select(*by, F.col(value).alias("median_high"))
+    return value_ranks(df, value, *by).groupBy(*by).agg(F.min(F.when(F.expr("__upto > __n div 2"), F.col(value))).alias("median_high"))
 
 
 def mode(df: DataFrame, value: str, position: str, *by: str) -> DataFrame:

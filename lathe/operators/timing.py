@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.operators.grading import absolute_paths
@@ -108,5 +108,7 @@ def ratio(ours: Column, theirs: Column) -> Column:
 
 def concentration(gaps: DataFrame, gap: str) -> DataFrame:
     """Rows with the share that each has of the summed gap."""
-    whole = F.sum(gap).over(Window.partitionBy())
-    return gaps.withColumn("share", F.when(whole != 0, F.abs(gap) / F.abs(whole)))
+    # one row, so it may be broadcast
+    whole = gaps.agg(F.sum(gap).alias("__whole"))
+    share = F.when(F.col("__whole") != 0, F.abs(gap) / F.abs("__whole"))
+    return gaps.crossJoin(F.broadcast(whole)).withColumn("share", share).drop("__whole")

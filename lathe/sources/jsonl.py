@@ -15,12 +15,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of text files; lines count from 1 within each file.
 
     A file is split over executors; blocks of one file are ordered by where they
-    start, so the numbers do not depend on how it was split.
+    start, so the numbers do not depend on how it was split. Lines are counted by
+    block and only the counts are summed up, so no task sees a whole file.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"))
+    # lines of a block are consecutive within one task
     placed = raw.withColumn("__m", F.monotonically_increasing_id())
-    within = Window.partitionBy("file").orderBy("__b", "__m")
-    return placed.select("file", F.row_number().over(within).alias("line"), "value")
+    blocks = placed.groupBy("file", "__b").agg(F.min("__m").alias("__first"), F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy("file").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "__b", (F.coalesce(earlier, F.lit(0)) - F.col("__first") + 1).alias("__o"))
+    return placed.join(starts, ["file", "__b"]).select("file", (F.col("__m") + F.col("__o")).cast("int").alias("line"), "value")
 
 
 def _kind(v: Column, path: str) -> Column:

@@ -141,3 +141,34 @@ def test_files(spark, tmp_path):
         fs.rmdir(base)
     fs.rmtree(base)
     assert not fs.exists(base)
+
+
+@pytest.mark.parametrize("piece", ["\n" * 100_000, " " * 100_000, "a" + " " * 50_000 + "b" + "\n \t" * 30_000 + "c"])
+def test_normalise_is_linear(spark, piece):
+    import time
+
+    text = f"x{piece}y  \n\n \t\n"
+    df = spark.createDataFrame([(text,)], "t string")
+    df.select(corpus.normalise(F.lit("a"))).first()
+    began = time.time()
+    got = df.select(corpus.normalise(F.col("t")).alias("t")).first().t
+    assert time.time() - began < 3
+    lines = [x.rstrip(" \t") for x in text.split("\n")]
+    while lines and not lines[-1].strip():
+        lines.pop()
+    assert got == "\n".join(lines)
+
+
+def test_line_numbers_do_not_depend_on_how_a_file_is_split(spark, tmp_path):
+    from lathe.sources import jsonl
+
+    for name, n in (("a.txt", 5000), ("b.txt", 7), ("c.txt", 1)):
+        (tmp_path / name).write_text("".join(f"{name} {k}\n" for k in range(1, n + 1)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1kb", "10kb", "1gb"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = jsonl.numbered_lines(spark, str(tmp_path)).collect()
+            assert len(rows) == 5008 and all(r.value == f"{r.file.rsplit('/', 1)[1]} {r.line}" for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -299,3 +299,12 @@ def test_text(spark):
         check(spark, "binary", blobs, mine, theirs)
     check(spark, "binary", blobs, lambda x: F.size(text.bytes_split(x, b",")), lambda v: len(v.split(b",")))
     check(spark, "binary", blobs, text.bytes_decode, attempt(lambda v: v.decode()))
+
+
+def test_display_of_structs_and_anchored_globs(spark):
+    row = spark.range(1).select(
+        formatting.json_dumps(F.struct(F.lit(1).alias("a"), F.array(F.lit("é")).alias("b"), F.lit(None).cast("double").alias("c"))).alias("j"),
+        formatting.repr_(F.lit(None).cast("double")).alias("n"), formatting.repr_(F.lit(float("nan"))).alias("nan"),
+        *[paths.fnmatch(F.lit(x), "th*").alias(k) for k, x in (("yes", "there"), ("no", "blog.there"))],
+    ).first()
+    assert tuple(row) == ('{"a": 1, "b": ["\\u00e9"], "c": null}', "None", "nan", True, False)
