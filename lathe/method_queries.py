@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lathe.functions import collections as py_list
 from lathe.functions import dates, formatting, numbers, paths, regex, strings, text, web
 from lathe.operators import gate, harvest, programs, redaction
+from lathe.plans.compiler import NATIVE
+from lathe.plans.programs import aggregate_function, compile_function, compile_program
 from lathe.queries import query
 from lathe.session import shared_dir, table
 from lathe.sources import files, jsonl
@@ -35,7 +37,7 @@ _NAN = "CASE WHEN event_id % 7 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 11 = 0 THE
 
 
 @query(
-    f"""SELECT event_id, v = 5.0 AND NOT isnan(v) AND v IS NOT NULL AS eq, CASE WHEN v IS NULL THEN NULL WHEN isnan(v) THEN false ELSE v < 5.0 END AS lt,
+    f"""SELECT event_id, v = 5.0 AND NOT isnan(v) AND v IS NOT NULL AS eq, v IS NOT NULL AND NOT isnan(v) AND v < 5.0 AS lt,
     v IS NOT DISTINCT FROM u AND NOT (v IS NOT NULL AND isnan(v)) AS same
     FROM (SELECT event_id, {_NAN} AS v, CASE WHEN event_id % 2 = 0 THEN {_NAN} ELSE 1.0 END AS u FROM events)"""
 )
@@ -44,7 +46,7 @@ def comparisons_with_nan(spark: SparkSession, d: str) -> DataFrame:
     v = F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
     rows = table(spark, d, "events").select("event_id", v.alias("v")).withColumn("u", F.when(k % 2 == 0, F.col("v")).otherwise(1.0))
     v = F.col("v")
-    return rows.select("event_id", numbers.float_equal(v, F.lit(5.0)).alias("eq"), numbers.less(v, F.lit(5.0)).alias("lt"), numbers.float_equal(v, F.col("u")).alias("same"))
+    return rows.select("event_id", numbers.float_equal(v, F.lit(5.0)).alias("eq"), F.coalesce(numbers.less(v, F.lit(5.0)), F.lit(False)).alias("lt"), numbers.float_equal(v, F.col("u")).alias("same"))
 
 
 @query("SELECT event_id, try_cast(trim(t) AS DOUBLE) AS number FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || value || ' ' WHEN 1 THEN event_type WHEN 2 THEN value || 'e2' ELSE '-' || value END AS t FROM events)")
@@ -231,6 +233,42 @@ def text_dedent(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", text.dedent(moved).alias("dedented"), F.split(text.dedent(moved), "\n").alias("lines"))
 
 
+_N = "(p_size % 9 + 1)"
+
+
+@query(
+    f"""SELECT p_partkey, list_transform(range(0, ({_N} + 1) // 2), lambda k: CASE WHEN 2 * k + 1 < {_N} THEN 'abcd abcd' ELSE 'abcd' END) AS wrapped,
+    array_to_string(list_transform(range(0, ({_N} + 1) // 2), lambda k: CASE WHEN 2 * k + 1 < {_N} THEN 'abcd abcd' ELSE 'abcd' END), chr(10)) AS filled,
+    CASE WHEN {_N} <= 4 THEN trim(repeat('abcd ', {_N})) ELSE 'abcd abcd [...]' END AS shortened, p_name || 'é' AS composed, {_N} = 1 AS is_composed FROM part"""
+)
+def text_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size") % 9 + 1
+    words = F.repeat(F.lit("abcd "), n)
+    accent = F.concat("p_name", F.lit("e\u0301"))
+    return table(spark, d, "part").select(
+        "p_partkey", text.wrap(words, 10).alias("wrapped"), text.fill(words, 10).alias("filled"), text.shorten(words, 19).alias("shortened"), text.normalize(accent, "NFC").alias("composed"),
+        text.is_normalized(F.when(n == 1, "é").otherwise("e\u0301"), "NFC").alias("is_composed"),
+    )
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'token="[REDACTED token ' || length(event_type) || ' chars]"' WHEN 1 THEN 'curl --password [REDACTED-password-' || length(event_type) || '-chars]'
+    WHEN 2 THEN 'id [REDACTED-AKIA-20-chars] end' ELSE 'x = ' || value END AS text, CASE event_id % 4 WHEN 0 THEN ['token'] WHEN 1 THEN ['password'] WHEN 2 THEN ['AKIA'] ELSE [] END AS hits, true AS safe FROM events"""
+)
+def redacted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments, flags and issued keys; redacting twice changes nothing."""
+    k, kind = F.col("event_id") % 4, F.col("event_type")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('token="'), kind, F.lit('"')))
+        .when(k == 1, F.concat(F.lit("curl --password "), kind))
+        .when(k == 2, F.concat(F.lit("id AKIA"), F.upper(F.substring(F.sha2(kind, 256), 1, 16)), F.lit(" end")))
+        .otherwise(F.concat(F.lit("x = "), F.col("value").cast("string")))
+    )
+    once = table(spark, d, "events").select("event_id", redaction.redact(raw).alias("r"))
+    twice = once.select("event_id", "r.hits", redaction.redact(F.col("r.text")).alias("r"))
+    return twice.select("event_id", "r.text", "hits", redaction.is_safe(F.col("hits")).alias("safe"))
+
+
 # paths
 
 
@@ -485,3 +523,72 @@ def environment_secrets(spark: SparkSession, d: str) -> DataFrame:
     """Names of variables that hold one opaque credential."""
     env = {"API_KEY": "abcdef0123456789", "HOME_TOKEN": "/home/user/token", "DB_SECRET": "s3cr3tvalue99", "PATH": "abcdef0123456789", "MY_KEY": "placeholder", "PIN_KEY": "123456789012"}
     return spark.createDataFrame([(name,) for name, _ in redaction.secret_values(env)], "name string")
+
+
+# programs: statements, functions, exceptions
+
+
+def _native(plan):
+    assert plan.tier == NATIVE
+    return plan.column
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size > 25 THEN 2 * p_size + 1 WHEN p_size > 10 THEN p_size - 3 ELSE 0 END AS branched, 6 * p_size + 10 AS looped,
+    p_size * p_size + 7 AS called, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE upper(p_name) END AS early, p_size AS swapped FROM part"""
+)
+def program_native(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments, branches, unrolled loops, functions and lambdas as one expression each."""
+    p = table(spark, d, "part")
+    texts = {
+        "branched": "if p_size > 25:\n    result = p_size\n    result *= 2\n    result += 1\nelif p_size > 10:\n    result = p_size - 3\nelse:\n    result = 0",
+        "looped": "total = 0\nfor k in [1, 2, 3]:\n    total += k * p_size\nfor k in range(5):\n    total += k\nresult = total",
+        "called": "def square(x, more=7):\n    y = x * x\n    return y + more\nresult = square(p_size)",
+        "early": "def pick(n):\n    if n % 2 == 0:\n        return p_brand\n    up = p_name.upper()\n    return up\nresult = pick(p_size)",
+        "swapped": "f = lambda v: v + 1\na, b = f(p_size), p_size\na, b = b, a\nassert b == a + 1, 'swapped'\nresult = a",
+    }
+    return p.select("p_partkey", *[_native(compile_program(t, p)).alias(name) for name, t in texts.items()])
+
+
+@query(
+    """SELECT p_partkey, list_sum(list_filter(range(1, p_size + 1), lambda k: k % 3 <> 0))::BIGINT AS summed, list_reverse_sort(list_distinct(string_split(p_name, ' ')))[1] AS last,
+    CAST(CASE WHEN p_size % 5 = 0 THEN -1 ELSE 100 // (p_size % 5) END AS BIGINT) AS guarded, string_split(p_name, ' ')[2:] AS rest FROM part WHERE p_size >= 1"""
+)
+def program_arrow(spark: SparkSession, d: str) -> DataFrame:
+    """while with continue and break, closures with key=, try with else and finally, unpacking with a star."""
+    p = table(spark, d, "part").where("p_size >= 1")
+    texts = {
+        "summed": ("k, result = 0, 0\nwhile True:\n    k += 1\n    if k > p_size:\n        break\n    if k % 3 == 0:\n        continue\n    result += k", "long"),
+        "last": ("def order(sign):\n    def key(w):\n        return w\n    return key\nresult = sorted(set(p_name.split(' ')), key=order(1), reverse=True)[0]", "string"),
+        "guarded": ("try:\n    result = 100 // (p_size % 5)\nexcept ZeroDivisionError as e:\n    result = -1\nelse:\n    result += 0\nfinally:\n    done = True", "long"),
+        "rest": ("first, *result = p_name.split(' ')", "array<string>"),
+    }
+    return p.select("p_partkey", *[compile_program(t, p, kind).column.alias(name) for name, (t, kind) in texts.items()])
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'ValueError: small ' || p_size WHEN p_size % 4 = 1 THEN 'KeyError: ''x''' WHEN p_size % 4 = 2 THEN 'AssertionError: odd' ELSE 'none' END AS error,
+    CAST(CASE WHEN p_size % 4 = 3 THEN p_size ELSE -1 END AS BIGINT) AS value, 'p' || p_size || chr(10) AS printed FROM part"""
+)
+def program_errors(spark: SparkSession, d: str) -> DataFrame:
+    """What a program raises, by the name and text that Python shows; and what it prints."""
+    p = table(spark, d, "part")
+    text_ = "k = p_size % 4\nif k == 0:\n    raise ValueError('small ' + str(p_size))\nif k == 1:\n    {}['x']\nassert k != 2, 'odd'\nresult = p_size"
+    outcome = compile_program(text_, p, "long", errors="struct").column
+    printed = compile_program("print('p', p_size, sep='')", p, "string", result="stdout").column
+    rows = p.select("p_partkey", outcome.alias("o"), printed.alias("printed"))
+    return rows.select("p_partkey", F.coalesce("o.error", F.lit("none")).alias("error"), F.coalesce("o.value", F.lit(-1)).cast("long").alias("value"), "printed")
+
+
+@query("SELECT p_partkey, p_size * 3 + 1 AS lambda_value, p_brand || '/' || p_type AS joined, upper(p_name) || '!' AS read FROM part")
+def user_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions given as text, *args among them, and a program that reads a column as its input."""
+    p = table(spark, d, "part")
+    joined = compile_function("def glue(*parts, sep='/'):\n    return sep.join(parts)", p, "p_brand", "p_type", returns="string")
+    read = compile_program("result = input().upper() + getenv('MARK', '?')", p, "string", stdin="p_name", environment={"MARK": "!"})
+    return p.select("p_partkey", _native(compile_function("lambda n: n * 3 + 1", p, "p_size")).alias("lambda_value"), joined.column.alias("joined"), read.column.alias("read"))
+
+
+@query("SELECT p_brand, CAST(max(p_size) - min(p_size) AS BIGINT) AS value FROM part GROUP BY p_brand")
+def user_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate_function("lambda values: values[-1] - values[0]", table(spark, d, "part"), "p_size", "p_brand", returns="long")
