@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lathe.functions import collections as py_list
 from lathe.functions import dates, formatting, numbers, paths, regex, strings, text, web
 from lathe.operators import gate, harvest, programs, redaction
+from lathe.plans import routes
 from lathe.plans.compiler import NATIVE
 from lathe.plans.programs import aggregate_function, compile_function, compile_program
 from lathe.queries import query
@@ -592,3 +593,20 @@ def user_functions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_brand, CAST(max(p_size) - min(p_size) AS BIGINT) AS value FROM part GROUP BY p_brand")
 def user_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return aggregate_function("lambda values: values[-1] - values[0]", table(spark, d, "part"), "p_size", "p_brand", returns="long")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'refused' WHEN 1 THEN 'column' WHEN 2 THEN 'batch' WHEN 3 THEN 'refused' ELSE 'refused' END AS engine,
+    CASE event_id % 5 WHEN 0 THEN 'class' WHEN 3 THEN 'import' WHEN 4 THEN 'decorator' END AS kind, CASE event_id % 5 WHEN 0 THEN 'C' || user_id WHEN 3 THEN 'm' || user_id WHEN 4 THEN 'd' || user_id END AS detail FROM events"""
+)
+def program_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The tier each program text goes to, and what a refused one needs."""
+    k, n = F.col("event_id") % 5, F.col("user_id").cast("string")
+    program = (
+        F.when(k == 0, F.concat(F.lit("class C"), n, F.lit(": pass")))
+        .when(k == 1, F.concat(F.lit("x = value + "), n))
+        .when(k == 2, F.concat(F.lit("while x < "), n, F.lit(":\n    x = value")))
+        .when(k == 3, F.concat(F.lit("from m"), n, F.lit(" import y")))
+        .otherwise(F.concat(F.lit("@d"), n, F.lit("\ndef f(): pass")))
+    )
+    return table(spark, d, "events").select("event_id", routes.classify(program, "value").alias("r")).select("event_id", "r.*")

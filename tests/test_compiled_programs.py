@@ -99,3 +99,57 @@ def test_functions_and_aggregates(df):
     assert [r[0] for r in df.select(compile_function("def f(a, b):\n    return a + len(b)", df, "n", "s").column).collect()] == [n + len(s) for n, s, _ in ROWS]
     got = aggregate_function("def spread(values):\n    return max(values) - min(values)", df.selectExpr("n", "n % 2 = 0 as even"), "n", "even", returns="long").collect()
     assert {r.even: r.value for r in got} == {True: 12, False: 10}
+
+
+@pytest.mark.parametrize(
+    "text, engine, kind",
+    [
+        ("class A: pass", "refused", "class"), ("import os", "refused", "import"), ("async def f(): pass", "refused", "async"), ("def f():\n yield 1", "refused", "generator"),
+        ("@d\ndef f(): pass", "refused", "decorator"), ("x = ...", "refused", "ellipsis"), ("def f(:", "refused", "syntax"), ("q.foo()", "refused", "method"), ("x = unknown", "refused", "name"),
+        ("try:\n  pass\nexcept* ValueError:\n  pass", "refused", "exception group"), ("match n:\n  case 1: pass", "refused", "match"), ("x = [v async for v in n]", "refused", "syntax"),
+        ("result = n + 1", "column", None), ("print(n)", "batch", None), ("while n: n -= 1", "batch", None), ("", "column", None), (None, "column", None),
+    ],
+)
+def test_routes(text, engine, kind):
+    from lathe.plans.routes import route
+
+    assert route(text, frozenset({"n"}))[:2] == (engine, kind)
+
+
+def test_generated_programs_in_the_compiled_tier(df):
+    """Every generated program means the same compiled as run by the interpreter, errors included."""
+    import contextlib
+    import io
+
+    from lathe.operators import fuzz
+    from lathe.plans.routes import route
+
+    programs, want = [], []
+    for seed in range(60):
+        text = fuzz.generate(seed)
+        assert route(text)[0] == "batch"
+        out = io.StringIO()
+        try:
+            with contextlib.redirect_stdout(out):
+                exec(text, {})
+            want.append((out.getvalue(), None))
+        except Exception as e:
+            want.append((None, type(e).__name__))
+        programs.append(compile_program(text, df, "string", result="stdout", errors="struct").column)
+    got = df.limit(1).select(*[p.alias(f"p{k}") for k, p in enumerate(programs)]).first()
+    assert [(r.value, r.error and r.error.split(":")[0]) for r in got] == want
+
+
+def test_shrinking_drops_statements():
+    from lathe.operators import fuzz
+
+    def fails(text):
+        try:
+            exec(text, {"print": lambda *a: None})
+        except ZeroDivisionError:
+            return True
+        except Exception:
+            return False
+        return False
+
+    assert fuzz.shrink("a = 1\nb = 2\nprint(len('abc') + 5 // (b - 2))\nd = 4\ne = 5", fails) == "b = 2\n5 // (b - 2)"
