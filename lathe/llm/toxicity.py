@@ -93,57 +93,50 @@ def grams(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Sample:
-    """The n-grams of the training texts: a text's features, repeated as often as they occur, lie in a row."""
+    """The n-grams of the training texts, for each size in one array, text after text; a feature stands there as often as it occurs."""
 
     def __init__(self, texts: pa.Array) -> None:
-        parts, sizes = [], []
-        self.weight = np.zeros(len(texts))
-        for start, stop in text_slices(texts):
+        parts = list(text_slices(texts))
+        empty = [np.zeros(0, np.int64)]
+        lengths = np.concatenate([np.diff(codepoints(texts.slice(start, stop - start))[1]) for start, stop in parts] or empty)
+        # what one occurrence adds to a feature: its share of a thousand characters
+        self.weight = 1000 / np.maximum(lengths, 1)
+        self.ends = [np.concatenate([[0], np.cumsum(np.maximum(lengths - n + 1, 0))]) for n in SIZES]
+        # filled in place, as these arrays are most of the driver's memory
+        self.index = [np.zeros(ends[-1], np.int32) for ends in self.ends]
+        for start, stop in parts:
             code, offsets = codepoints(texts.slice(start, stop - start))
-            owner = np.repeat(np.arange(stop - start), np.diff(offsets))
-            found = []
-            for n, index in grams(code):
-                ok = owner[: len(index)] == owner[n - 1 :]
-                found.append((owner[: len(index)][ok], index[ok]))
-            # what one occurrence adds to a feature: its share of a thousand characters
-            self.weight[start:stop] = 1000 / np.maximum(np.diff(offsets), 1)
-            if found:
-                row, index = (np.concatenate(x) for x in zip(*found))
-                parts.append(index[np.argsort(row, kind="stable")])
-                sizes.append(np.bincount(row, minlength=stop - start))
-            else:
-                sizes.append(np.zeros(stop - start, np.int64))
-        self.index = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
-
-    def _slices(self) -> Iterator[tuple[int, int]]:
-        """Ranges of texts that have about TRAIN_SLICE places."""
-        k, n = 0, len(self.ends) - 1
-        while k < n:
-            stop = min(n, max(k + 1, int(np.searchsorted(self.ends, self.ends[k] + TRAIN_SLICE, side="right")) - 1))
-            yield k, stop
-            k = stop
+            owner = np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(offsets))
+            for (n, index), found, ends in zip(grams(code), self.index, self.ends):
+                found[ends[start] : ends[stop]] = index[owner[: len(index)] == owner[n - 1 :]]
+
+    def _slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """(features, ends, first text, text after the last) of about TRAIN_SLICE places each."""
+        for index, ends in zip(self.index, self.ends):
+            k, n = 0, len(ends) - 1
+            while k < n:
+                stop = min(n, max(k + 1, int(np.searchsorted(ends, ends[k] + TRAIN_SLICE, side="right")) - 1))
+                yield index[ends[k] : ends[stop]], ends[k : stop + 1] - ends[k], k, stop
+                k = stop
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """For each text the sum of its features' values, weighted."""
-        out = np.zeros(len(self.ends) - 1)
-        for a, b in self._slices():
-            ends = self.ends[a : b + 1] - self.ends[a]
-            running = np.concatenate([[0.0], np.cumsum(w[self.index[self.ends[a] : self.ends[b]]], dtype=np.float64)])
-            out[a:b] = running[ends[1:]] - running[ends[:-1]]
+        out = np.zeros(len(self.weight))
+        for index, ends, a, b in self._slices():
+            running = np.concatenate([[0.0], np.cumsum(w[index], dtype=np.float64)])
+            out[a:b] += running[ends[1:]] - running[ends[:-1]]
         return out * self.weight
 
     def spread(self, g: np.ndarray) -> np.ndarray:
         """For each feature the sum over the texts of its value times the text's g."""
         out = np.zeros(1 << HASH_BITS)
-        for a, b in self._slices():
-            each = np.repeat((g * self.weight)[a:b], np.diff(self.ends[a : b + 1]))
-            out += np.bincount(self.index[self.ends[a] : self.ends[b]], weights=each, minlength=len(out))
+        for index, ends, a, b in self._slices():
+            out += np.bincount(index, weights=np.repeat((g * self.weight)[a:b], np.diff(ends)), minlength=len(out))
         return out
 
 
 def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    """Where a smooth convex function is least, by L-BFGS with ten pairs and halved steps."""
+    """Where a smooth convex function is least, by L-BFGS with five pairs and halved steps."""
     value, g = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(ROUNDS):
@@ -169,7 +162,7 @@ def _minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray)
             step /= 2
         s, y = new_x - x, new_g - g
         if s @ y > 1e-12:
-            pairs = [*pairs[-9:], (s, y, 1 / (s @ y))]
+            pairs = [*pairs[-4:], (s, y, 1 / (s @ y))]
         if step < 1e-10:
             break
         x, value, g = new_x, new_value, new_g
