@@ -111,7 +111,7 @@ def histograms(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def share(value: Column) -> Column:
-    """Per cent of the total, 0 of nothing."""
+    """Per cent of the total, 0 of nothing. For results of few rows, as one task sees them all; ``timing.concentration`` is for tables."""
     whole = F.sum(value).over(Window.partitionBy())
     return F.when(whole == 0, 0.0).otherwise(100.0 * value / whole)
 

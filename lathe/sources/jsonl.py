@@ -82,9 +82,11 @@ def serialise(entries: DataFrame) -> DataFrame:
     return entries.select("id", F.when(extra == "{}", core).otherwise(F.concat(F.left(core, F.length(core) - 1), F.lit(","), F.substring(extra, F.lit(2), F.length(extra)))).alias("value"))
 
 
-def write(entries: DataFrame, path: str, partitions: int = 1) -> None:
-    """Sorted by id; files are in order by name. Task output appears only on commit."""
-    serialise(entries).repartitionByRange(partitions, "id").sortWithinPartitions("id").select("value").write.mode("overwrite").text(path)
+def write(entries: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Sorted by id over as many files as asked for, else as Spark finds fit; files are in order by name. Task output appears only on commit."""
+    rows = serialise(entries)
+    ranged = rows.repartitionByRange(partitions, "id") if partitions else rows.repartitionByRange("id")
+    ranged.sortWithinPartitions("id").select("value").write.mode("overwrite").text(path)
 
 
 def write_by_session(sightings: DataFrame, path: str) -> None:
