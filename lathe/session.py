@@ -89,3 +89,13 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of the shared file system with these bytes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
