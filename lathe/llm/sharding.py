@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import numbered, position, sortable_id, stored
+from lathe.llm.common import forget, numbered, position, sortable_id, stored
 
 #: Bytes of text a shard should have.
 SHARD_BYTES = 64 << 20
@@ -156,7 +156,9 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     id_at, text_at, source_at = (f"__c{position(names, c)}" for c in ("doc_id", "text", "source"))
     key = sort_key(F.col(source_at), F.col(id_at))
     sizes = renamed.select(key.alias("key"), F.coalesce(F.octet_length(text_at), F.lit(0)).cast("long").alias("bytes"))
-    bounds = splitters(stored(sizes, "keys"), shard_bytes)
+    keys = stored(sizes, "keys")
+    bounds = splitters(keys, shard_bytes)
+    forget(keys)
     shard = _interval(bounds)(F.col("__key")) if bounds else F.lit(0)
     kept = [f"__c{k}" for k, name in enumerate(names) if name.lower() != "shard"]
     placed = renamed.withColumn("__key", key).withColumn("__shard", shard).repartitionById(len(bounds) + 1, F.col("__shard"))
