@@ -13,7 +13,7 @@ from lathe.operators import gate, harvest, programs, redaction
 from lathe.plans import routes
 from lathe.plans.compiler import NATIVE
 from lathe.plans.programs import aggregate_function, compile_function, compile_program
-from lathe.queries import query
+from lathe.queries import QUERIES, SQL, Query, query
 from lathe.session import shared_dir, table
 from lathe.sources import files, jsonl
 from lathe.streaming import capture
@@ -74,14 +74,14 @@ def characters_and_types(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, lower(p_type) AS folded, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE lower(upper(p_name)) END AS swapped,
     array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS titled,
-    regexp_replace(p_type, 'Y$', '') AS cut, encode(p_name) AS raw FROM part"""
+    regexp_replace(p_type, 'Y$', '') AS cut, hex(encode(p_name)) AS raw FROM part"""
 )
 def text_cases(spark: SparkSession, d: str) -> DataFrame:
     name, even = F.col("p_name"), F.col("p_partkey") % 2 == 0
     mixed = F.when(even, name).otherwise(F.upper(name))
     return table(spark, d, "part").select(
         "p_partkey", strings.upper(name).alias("up"), strings.lower(F.col("p_brand")).alias("low"), strings.casefold(F.col("p_type")).alias("folded"),
-        strings.swapcase(mixed).alias("swapped"), strings.title(name).alias("titled"), strings.removesuffix(F.col("p_type"), "Y").alias("cut"), strings.encode(name).alias("raw"),
+        strings.swapcase(mixed).alias("swapped"), strings.title(name).alias("titled"), strings.removesuffix(F.col("p_type"), "Y").alias("cut"), F.hex(strings.encode(name)).alias("raw"),
     )
 
 
@@ -136,14 +136,13 @@ def ranges_map_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, list_zip(w, range(0, len(w))) AS pairs FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)"""
+    """SELECT p_partkey, list_transform(range(0, len(w)), lambda k: w[k + 1] || '=' || k) AS pairs FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)"""
 )
 def list_zip(spark: SparkSession, d: str) -> DataFrame:
     w = F.split("p_name", " ")
     longer = py_list.range_(F.lit(0).cast("long"), F.size(w).cast("long"))
     pairs = py_list.zip_(w, F.concat(longer, F.array(F.lit(7).cast("long"))))
-    # struct fields named as DuckDB does not: compared by value
-    return table(spark, d, "part").select("p_partkey", F.transform(pairs, lambda p: F.struct(p["_0"].alias("1"), p["_1"].alias("2"))).alias("pairs"))
+    return table(spark, d, "part").select("p_partkey", F.transform(pairs, lambda p: F.concat(p["_0"], F.lit("="), p["_1"].cast("string"))).alias("pairs"))
 
 
 # dicts: maps shown as sorted lists of "key=value"
@@ -610,3 +609,25 @@ def program_routes(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("@d"), n, F.lit("\ndef f(): pass")))
     )
     return table(spark, d, "events").select("event_id", routes.classify(program, "value").alias("r")).select("event_id", "r.*")
+
+
+# lists are shown as texts, as clients of the two engines give them in different forms
+
+LISTS = {
+    "split_lines": "lines", "regex_escape": "hosts", "list_changes": "extended inserted before_last thrice without_first backwards appended", "ranges_map_filter": "up down squares thirds",
+    "list_zip": "pairs", "dict_changes": "updated rest made keys", "set_changes": "added discarded removed updated", "bytes_changes": "parts", "text_dedent": "lines", "text_wrapped": "wrapped",
+    "path_pieces": "parts", "registered_modules": "modules", "program_arrow": "rest", "redacted_texts": "hits",
+}
+
+
+def _joined(build: Query, columns: list[str]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return build(spark, d).withColumns({c: F.array_join(F.col(c).cast("array<string>"), "|") for c in columns})
+
+    return run
+
+
+for _name, _columns in LISTS.items():
+    QUERIES[_name] = _joined(QUERIES[_name], _columns.split())
+    _texts = ", ".join(f"coalesce(array_to_string({c}, '|'), '') AS {c}" for c in _columns.split())
+    SQL[_name] = f"SELECT * REPLACE ({_texts}) FROM ({SQL[_name]})"
