@@ -18,6 +18,7 @@ from pathlib import PurePosixPath
 import pytest
 from pyspark.sql import functions as F
 
+from lathe import queries
 from lathe.functions import collections as L
 from lathe.functions import dates, formatting, numbers, paths, regex, strings, text, web
 
@@ -301,6 +302,13 @@ def test_text(spark):
     check(spark, "binary", blobs, text.bytes_decode, attempt(lambda v: v.decode()))
 
 
+def test_wrap_query_of_blank_texts(spark, tmp_path):
+    blank = [(0, ""), (1, " \n\t"), (2, None), (3, "one  two")]
+    spark.createDataFrame(blank, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in queries.text_wrap_fold(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, None, "", ""), 1: (0, None, "", " \n\t"), 2: (None,) * 4, 3: (1, "one  two", "one two", "one  two")}
+
+
 def test_display_of_structs_and_anchored_globs(spark):
     row = spark.range(1).select(
         formatting.json_dumps(F.struct(F.lit(1).alias("a"), F.array(F.lit("é")).alias("b"), F.lit(None).cast("double").alias("c"))).alias("j"),
