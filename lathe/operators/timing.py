@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.operators.grading import absolute_paths
+from lathe.operators.relational import enumerate_rows
 
 RAN = "ran"
 RECORD_SCHEMA = "lathe-timing-1"
+#: Entries of one record at most.
+RECORD_ENTRIES = 10_000
 RECORD = "schema string, total_ms double, entries map<string, struct<ms: double, outcome: string, rc: int>>"
 
 
@@ -61,11 +64,20 @@ def corpus_time(samples: DataFrame) -> DataFrame:
 
 
 def timing_record(best: DataFrame) -> DataFrame:
-    """One JSON text per arm with the total and every entry's time; entries in order of id."""
+    """(arm, part, record): JSON texts with the arm's total and every entry's time, in order of id over the parts.
+
+    A record holds the entries of RECORD_ENTRIES consecutive places, so no row grows with the table;
+    an arm that is longer has several, each with the total of the whole arm.
+    """
+    placed = enumerate_rows(best.select("arm", "entry_id", "ms", "outcome", "rc"), "arm", "entry_id", name="__at")
+    # not broadcast by a hint: nothing bounds the number of arms
+    totals = placed.groupBy(F.col("arm").alias("__arm")).agg(F.sum("ms").alias("__total"), F.min("__at").alias("__first"))
+    part = F.expr(f"(__at - __first) div {RECORD_ENTRIES}")
+    rows = placed.join(totals, F.col("arm").eqNullSafe(F.col("__arm"))).withColumn("part", part)
     entries = F.array_sort(F.collect_list(F.struct("entry_id", F.struct("ms", "outcome", "rc").alias("t"))))
     as_map = F.map_from_entries(entries)
-    record = F.to_json(F.struct(F.lit(RECORD_SCHEMA).alias("schema"), F.sum("ms").alias("total_ms"), as_map.alias("entries")))
-    return best.groupBy("arm").agg(record.alias("record"))
+    record = F.to_json(F.struct(F.lit(RECORD_SCHEMA).alias("schema"), F.first("__total").alias("total_ms"), as_map.alias("entries")))
+    return rows.groupBy("arm", "part").agg(record.alias("record"))
 
 
 def load_record(records: DataFrame, column: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,19 @@ def test_timing(spark):
     assert [r.r[:8] for r in reasons.collect()] == ["", "absolute", "absolute", "NUL byte"]
 
 
+def test_timing_record_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(timing, "RECORD_ENTRIES", 2, raising=False)
+    rows = [(arm, f"e{k}", float(k), "ran", 0) for arm, n in (("a", 5), ("b", 2), (None, 1)) for k in range(n)]
+    best = spark.createDataFrame(rows, "arm string, entry_id string, ms double, outcome string, rc int").repartition(3)
+    records = timing.timing_record(best)
+    texts = {}
+    for r in records.orderBy("arm", "part").collect():
+        texts.setdefault(r.arm, []).append(json.loads(r.record))
+    assert {arm: [list(t["entries"]) for t in all_] for arm, all_ in texts.items()} == {"a": [["e0", "e1"], ["e2", "e3"], ["e4"]], "b": [["e0", "e1"]], None: [["e0"]]}
+    assert {arm: {t["total_ms"] for t in all_} for arm, all_ in texts.items()} == {"a": {10.0}, "b": {1.0}, None: {0.0}}
+    assert sorted(map(tuple, timing.load_record(records, "record").collect())) == sorted(r[1:] for r in rows)
+
+
 def test_judge_and_collapse(spark):
     run = "struct<rc:int,stdout:string,stderr:string,timed_out:boolean>"
     ok, line = (0, "1", "", False), "core: unsupported: x: y"
