@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lathe.operators.corpus import value_ranks
 from lathe.session import stored
 
+#: Rows of a block in a join by order: a pair of blocks whose ranges overlap is compared row by row.
+BLOCK_ROWS = 1000
+
 
 def enumerate_rows(df: DataFrame, *order: str | Column, start: int = 0, name: str = "pos") -> DataFrame:
     """Rows with their position in a total order.
@@ -35,9 +38,35 @@ def zip_rows(left: DataFrame, right: DataFrame, by: str = "pos") -> DataFrame:
     return left.join(right, by)
 
 
-def nested_loops(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """``[... for a in left for b in right if condition]``; equalities in the condition become a hash or merge join."""
-    return left.join(right, condition)
+def nested_loops(left: DataFrame, right: DataFrame, condition: Column | None = None, less: tuple[Column, Column] | None = None) -> DataFrame:
+    """``[... for a in left for b in right if condition]``; equalities in the condition become a hash or merge join.
+
+    Where there is none, every pair would be looked at. ``less`` names an expression
+    of the left side and one of the right that each pair has in increasing order, and
+    the work then follows the rows and the pairs found: rows that nothing on the other
+    side matches go, the others are sorted by the expression and cut into blocks of
+    BLOCK_ROWS, and only blocks whose ranges allow a pair are joined.
+    """
+    if less is None:
+        return left.join(right, condition)
+    a, b = left.withColumn("__a", less[0]), right.withColumn("__b", less[1])
+    if (dict(a.dtypes)["__a"] == "string") != (dict(b.dtypes)["__b"] == "string"):
+        raise ValueError("less: a text and another type have no common order")
+    # one row each, so they may be broadcast
+    least, most = a.agg(F.min("__a").alias("__least")), b.agg(F.max("__b").alias("__most"))
+    a = _blocks(a.crossJoin(F.broadcast(most)).where("__a < __most").drop("__most"), "__a", "__left")
+    b = _blocks(b.crossJoin(F.broadcast(least)).where("__least < __b").drop("__least"), "__b", "__right")
+    low, high = a.groupBy("__left").agg(F.min("__a").alias("__low")), b.groupBy("__right").agg(F.max("__b").alias("__high"))
+    # rows of bounds only: as many as there are blocks
+    meeting = low.join(high, F.col("__low") < F.col("__high")).select("__left", "__right")
+    pairs = a.join(meeting, "__left").join(b, "__right").where("__a < __b").drop("__left", "__right", "__a", "__b")
+    return pairs if condition is None else pairs.where(condition)
+
+
+def _blocks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Rows with the number of their block of BLOCK_ROWS in order of the value; equal values are sorted in several tasks."""
+    ordered = enumerate_rows(df.withColumn("__tie", F.monotonically_increasing_id()), value, "__tie", name=name)
+    return ordered.withColumn(name, F.expr(f"{name} div {BLOCK_ROWS}")).drop("__tie")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], key: str, position: str, largest: bool = False) -> DataFrame:
